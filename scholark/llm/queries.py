@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholark.llm.counting import banded, folded, value_frequencies
+from scholark.llm.encoding import encode_corpus
 from scholark.llm.formatting import collapse_formatting, copy_counts
 from scholark.llm.sql import ORACLES
 from scholark.llm.topn import top_n_per_group
@@ -35,9 +37,37 @@ def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_counts(papers, "PaperId", ["title"], swaps=True).select("representative", "n_records")
 
 
+#: A value in fewer papers is rare, one in a larger share of all papers common.
+RARE_BELOW, COMMON_SHARE = 3, 0.04
+
+
+def _term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = table(spark, sf_dir, "df_ner").select("s2_id", "label", "term_cleaned")
+    counts = value_frequencies(terms, "label", folded(F.col("term_cleaned")), "s2_id").withColumnRenamed("value", "term_cleaned")
+    return banded(counts, terms.agg(F.countDistinct("s2_id")), RARE_BELOW, COMMON_SHARE)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _term_frequencies(spark, sf_dir).where("band is not null").select("label", "term_cleaned", "band")
+
+
+def p7_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value with its counts, its band and what ``grp_counts`` holds for it, repeated tallies taken once."""
+    stored = table(spark, sf_dir, "grp_counts").select("chunk_id", "label", folded(F.col("term_cleaned")).alias("term_cleaned"), "term_count").distinct()
+    tallies = stored.groupBy("label", "term_cleaned").agg(F.sum("term_count").alias("stored_count"))
+    return _term_frequencies(spark, sf_dir).join(tallies, ["label", "term_cleaned"], "left")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_top_terms": p3_top_terms,
     "p5_found": p5_found,
     "p5_copies": p5_copies,
+    "p7_found": p7_found,
+    "p7_frequencies": p7_frequencies,
+    "p8_ids": p8_ids,
 }

@@ -20,9 +20,20 @@ _FORMS = """
              root AS (SELECT a AS f, min(b) AS c FROM reach GROUP BY a),
              m AS (SELECT DISTINCT PaperId, c FROM k JOIN root USING (f))"""
 
+_COUNTS = """
+        WITH t AS (SELECT s2_id, label, nullif(trim(regexp_replace(lower(term_cleaned), '[\\s\\x{85}\\p{Z}\\x1c-\\x1f]+', ' ', 'g')), '') AS v FROM df_ner),
+             c AS (SELECT label, v AS term_cleaned, count(*) AS occurrences, count(DISTINCT s2_id) AS records FROM t
+                   WHERE label IS NOT NULL AND v IS NOT NULL GROUP BY ALL),
+             f AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.04 * (SELECT count(DISTINCT s2_id) FROM df_ner) THEN 'common' END AS band FROM c)"""
+
 ORACLES = {
     "p3_found": _TOP + " SELECT AuthorId, term_id FROM r WHERE rk <= 5",
     "p3_top_terms": _TOP + " SELECT AuthorId, term_id, tfidf_score, term_display, rk AS \"rank\" FROM r WHERE rk <= 5",
     "p5_found": _FORMS + " SELECT x.PaperId AS PaperId_1, y.PaperId AS PaperId_2 FROM m x JOIN m y ON x.c = y.c AND x.PaperId < y.PaperId",
     "p5_copies": _FORMS + " SELECT min(PaperId) AS representative, count(*) AS n_records FROM m GROUP BY c",
+    "p7_found": _COUNTS + " SELECT label, term_cleaned, band FROM f WHERE band IS NOT NULL",
+    "p7_frequencies": _COUNTS + """,
+             g AS (SELECT DISTINCT chunk_id, label, nullif(trim(regexp_replace(lower(term_cleaned), '[\\s\\x{85}\\p{Z}\\x1c-\\x1f]+', ' ', 'g')), '') AS term_cleaned, term_count FROM grp_counts),
+             s AS (SELECT label, term_cleaned, CAST(sum(term_count) AS BIGINT) AS stored_count FROM g GROUP BY ALL)
+        SELECT f.*, stored_count FROM f LEFT JOIN s ON f.label = s.label AND f.term_cleaned = s.term_cleaned""",
 }
