@@ -162,9 +162,9 @@ def value_frequencies(df: DataFrame, group: str, value: Column, record: str) ->
     The rows of one value too frequent for a route are spread over HOT_PARTS workers.
 
     Rows with a null group or value are no values; a null record counts as one record. An empty table gives no rows.
-    ``group`` must not hold the character U+0000. Extra columns are ignored.
+    ``group`` must not hold the character U+0001. Extra columns are ignored.
     """
-    rows = df.select(F.concat(F.col(group).cast("string"), F.lit("\u0000"), value).alias("value"), F.col(record).alias("record")).where("value is not null")
+    rows = df.select(F.concat(F.col(group).cast("string"), F.lit("\u0001"), value).alias("value"), F.col(record).alias("record")).where("value is not null")
     once = cut_lineage(rows.groupBy("value", "record").agg(F.count(F.lit(1)).alias("occurrences")))
     route, budget = adaptive_routes(once, "value")
     hot = [r[0] for r in once.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > budget).select("value").collect()]
@@ -172,7 +172,7 @@ def value_frequencies(df: DataFrame, group: str, value: Column, record: str) ->
     routed = once.select(route(F.col("value")).alias("route"), "value", "occurrences", part.alias("part"))
     subtrees = routed.repartition(parallelism(df.sparkSession), "route", "part").drop("part").mapInPandas(_count, _SUBTREES)
     merged = subtrees.repartition("route").mapInPandas(_merge, "value string, occurrences bigint, records bigint")
-    at = F.instr("value", "\u0000")
+    at = F.instr("value", "\u0001")
     return merged.select(F.substring("value", F.lit(1), at - 1).alias(group), F.substring("value", at + 1, F.length("value")).alias("value"), "occurrences", "records")
 
 
