@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholark.llm.counting import banded, folded, value_frequencies
 from scholark.llm.encoding import encode_corpus
 from scholark.llm.formatting import collapse_formatting, copy_counts
+from scholark.llm.residue import mark_residue
 from scholark.llm.sql import ORACLES
 from scholark.llm.topn import top_n_per_group
 from scholark.operators.graph.components import pairs_within
@@ -62,6 +63,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_residue(table(spark, sf_dir, "documents"), "doc_id", "text").where("residue is not null").select("doc_id").distinct()
+
+
+def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by what their text is, content included."""
+    marked = mark_residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return marked.groupBy(F.coalesce("residue", F.lit("content")).alias("residue")).agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_top_terms": p3_top_terms,
@@ -70,4 +81,6 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_frequencies": p7_frequencies,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_kinds": p10_kinds,
 }
