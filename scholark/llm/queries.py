@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholark.llm.counting import banded, folded, value_frequencies
 from scholark.llm.encoding import encode_corpus
 from scholark.llm.formatting import collapse_formatting, copy_counts
+from scholark.llm.neighbours import most_similar
 from scholark.llm.residue import mark_residue
 from scholark.llm.sql import ORACLES
 from scholark.llm.topn import top_n_per_group
@@ -26,6 +27,18 @@ def p3_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(scores, "AuthorId", "term_id", "tfidf_score", ["term_display"], 5)
 
 
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every persona and kind of vector the five most similar personas with similarity and rank."""
+    personas = table(spark, sf_dir, "persona_embeddings").select("persona_id", "task_embedding", "method_embedding")
+    kinds = [most_similar(personas, "persona_id", f"{kind}_embedding", 5, 64).withColumn("vector_kind", F.lit(kind)) for kind in ("task", "method")]
+    return kinds[0].unionByName(kinds[1])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p4_neighbours(spark, sf_dir)
+    return near.select("vector_kind", F.least("persona_id", "neighbour").alias("persona_id_1"), F.greatest("persona_id", "neighbour").alias("persona_id_2")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = table(spark, sf_dir, "paper").select("PaperId", "title")
     groups = collapse_formatting(papers, "PaperId", ["title"], swaps=True).select("PaperId", F.element_at("tuple", 1).alias("code"))
@@ -76,6 +89,8 @@ def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_top_terms": p3_top_terms,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_copies": p5_copies,
     "p7_found": p7_found,
