@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholark.llm.counting import banded, folded, value_frequencies
 from scholark.llm.encoding import encode_corpus
 from scholark.llm.formatting import collapse_formatting, copy_counts
+from scholark.llm.names import link_names
 from scholark.llm.neighbours import most_similar
 from scholark.llm.residue import mark_residue
 from scholark.llm.sql import ORACLES
@@ -16,6 +17,19 @@ from scholark.operators.graph.components import pairs_within
 from scholark.sources.tables import table
 
 
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every author id with a readable name and the smallest id of the person or group it stands for."""
+    authors = table(spark, sf_dir, "authors").select("AuthorId", "DisplayName", "NormalizedName")
+    typed = table(spark, sf_dir, "paper_author_affiliations").select("AuthorId", F.col("OriginalAuthor").alias("name")).dropna().distinct()
+    shown = authors.select("AuthorId", F.coalesce("DisplayName", "NormalizedName").alias("name"))
+    names = shown.unionByName(typed.join(authors.select("AuthorId").distinct(), "AuthorId", "left_semi"))
+    return link_names(names, "AuthorId", "name", table(spark, sf_dir, "given_name_forms"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_within(p2_entities(spark, sf_dir), "AuthorId", "entity", "AuthorId_1", "AuthorId_2")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "tfidf_dfs")
     return top_n_per_group(scores, "AuthorId", "term_id", "tfidf_score", ["term_display"], 5).select("AuthorId", "term_id")
@@ -87,6 +101,8 @@ def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_entities": p2_entities,
     "p3_found": p3_found,
     "p3_top_terms": p3_top_terms,
     "p4_found": p4_found,
