@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholark.llm.clusters import cluster_records, describe_clusters
 from scholark.llm.counting import banded, folded, value_frequencies
 from scholark.llm.encoding import encode_corpus
 from scholark.llm.formatting import collapse_formatting, copy_counts
@@ -65,6 +66,20 @@ def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_counts(papers, "PaperId", ["title"], swaps=True).select("representative", "n_records")
 
 
+def _paper_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = table(spark, sf_dir, "paper").select("PaperId", "title", "abstract")
+    return cluster_records(papers, "PaperId", "title", "abstract")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_within(_paper_clusters(spark, sf_dir), "PaperId", "cluster", "PaperId_1", "PaperId_2")
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size and three most typical papers."""
+    return describe_clusters(_paper_clusters(spark, sf_dir), "PaperId")
+
+
 #: A value in fewer papers is rare, one in a larger share of all papers common.
 RARE_BELOW, COMMON_SHARE = 3, 0.04
 
@@ -109,6 +124,8 @@ QUERIES = {
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_copies": p5_copies,
+    "p6_found": p6_found,
+    "p6_clusters": p6_clusters,
     "p7_found": p7_found,
     "p7_frequencies": p7_frequencies,
     "p8_ids": p8_ids,
