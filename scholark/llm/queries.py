@@ -9,6 +9,7 @@ from scholark.llm.clusters import cluster_records, describe_clusters
 from scholark.llm.counting import banded, folded, value_frequencies
 from scholark.llm.encoding import encode_corpus
 from scholark.llm.formatting import collapse_formatting, copy_counts
+from scholark.llm.mixing import mix_report, mix_sources
 from scholark.llm.names import link_names
 from scholark.llm.neighbours import most_similar
 from scholark.llm.residue import mark_residue
@@ -105,6 +106,17 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the largest mix in which every listed source reaches its share, with copy, shard and position."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(documents, table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every listed source in that mix."""
+    return mix_report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_residue(table(spark, sf_dir, "documents"), "doc_id", "text").where("residue is not null").select("doc_id").distinct()
 
@@ -129,6 +141,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_frequencies": p7_frequencies,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_kinds": p10_kinds,
 }
