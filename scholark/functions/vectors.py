@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_double(v: Column) -> Column:
@@ -34,13 +39,47 @@ def unit(a: Column) -> Column:
     return F.when(length == 0, as_double(a)).otherwise(F.transform(a, lambda x: x / length))
 
 
+#: Keys whose partial sums a worker holds before it hands them on.
+PARTIAL_KEYS = 50_000
+
+
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, weight: str | None = None, alias: str = "embedding") -> DataFrame:
     """``keys``, ``alias``: element-wise mean of (weighted) vectors, divided by the number of rows, not by the weights' sum.
 
-    Sums are combined on the map side per (key, element), so no key's vectors are gathered in one place.
+    Each worker sums its rows' vectors per key before the shuffle, so one partial sum a key and partition travels and a
+    heavy key is no task's burden. Null keys, null vectors and vectors of another length than the first form no group.
     """
-    value = F.col("x").cast("double") if weight is None else F.col("x").cast("double") * F.col(weight)
-    columns = [*keys, *([weight] if weight else [])]
-    rows = df.select(*columns, F.posexplode(vector).alias("i", "x"))
-    means = rows.groupBy(*keys, "i").agg(F.avg(value).alias("m"))
-    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(alias))
+    kinds = [df.schema[k] for k in keys]
+    out = T.StructType([*kinds, T.StructField("__sum", T.ArrayType(T.DoubleType())), T.StructField("__n", T.LongType())])
+    columns = [*keys, F.col(vector).cast("array<double>").alias("__v"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("__w")]
+    rows = df.select(*columns).dropna()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+
+        def flush() -> pd.DataFrame:
+            return pd.DataFrame([(*k, s, n) for k, (s, n) in held.items()], columns=[*keys, "__sum", "__n"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["__v"].to_list()) * batch["__w"].to_numpy()[:, None]
+            code = batch.groupby(keys, sort=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            begin = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+            sums, counts = np.add.reduceat(x[order], begin, axis=0), np.diff(np.r_[begin, len(order)])
+            names = batch[keys].iloc[order[begin]].itertuples(index=False, name=None)
+            for name, s, n in zip(names, sums, counts):
+                if name in held:
+                    held[name][0] = held[name][0] + s
+                    held[name][1] += int(n)
+                else:
+                    held[name] = [s, int(n)]
+            if len(held) > PARTIAL_KEYS:
+                yield flush()
+                held.clear()
+        yield flush()
+
+    parts = rows.mapInPandas(partial, out).select(*keys, "__n", F.posexplode("__sum").alias("i", "s"))
+    means = parts.groupBy(*keys, "i").agg((F.sum("s") / F.sum("__n")).alias("m"))
+    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias(alias))
