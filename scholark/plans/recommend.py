@@ -14,6 +14,7 @@ from scholark.constants import CANDIDATE_PAPERS, PERSONA_PAPERS, RANK_POOL, WARD
 from scholark.functions.vectors import cosine_distance, mean_vectors
 from scholark.kernels.ward import ward_labels
 from scholark.operators.relational import keep_first
+from scholark.session import cut_lineage
 
 #: Papers of one author beyond which personas are not clustered (the kernel's memory is quadratic).
 MOST_PERSONA_PAPERS = 2000
@@ -68,7 +69,8 @@ def distances(focal: DataFrame, candidates: DataFrame, alias: str) -> DataFrame:
 
     The focal vectors are the stated query set; more than 10000 of them are refused rather than sent to all workers.
     """
-    if len(focal.limit(10_001).select("collection_id").collect()) > 10_000:
+    focal = cut_lineage(focal.select("collection_id", "embedding"))
+    if focal.count() > 10_000:
         raise ValueError("more than 10000 focal vectors; run them in blocks")
     asked = F.broadcast(focal.select("collection_id", F.col("embedding").alias("__f")))
     return candidates.crossJoin(asked).select("collection_id", "AuthorId", cosine_distance(F.col("embedding"), F.col("__f")).alias(alias))

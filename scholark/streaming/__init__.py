@@ -1 +1 @@
-
+"""Streaming forms of segmentation and upserts."""
