@@ -138,7 +138,7 @@ def ward_personas(papers: DataFrame, threshold: float = WARD_THRESHOLD, least: i
         large = rows.groupby("label").filter(lambda g: len(g) >= least)
         if not len(large):
             if not keep_all:
-                return pd.DataFrame({"AuthorId": [], "persona_id": [], "PaperId": []})
+                return rows.assign(persona_id="").loc[[], ["AuthorId", "persona_id", "PaperId"]]
             large = rows.assign(label=0)
         best = large.groupby("label")["Rank"].min().sort_values(kind="stable")
         letter = {c: i for i, c in enumerate(best.index)}

@@ -66,11 +66,12 @@ def read_predictions(spark: SparkSession, path: str, recursive: bool = False) ->
 
 def read_ego_partitions(spark: SparkSession, path: str) -> DataFrame:
     """``node``, ``component``, ``neighbour`` from lines of ``{node: {component: [neighbours]}}``; a node on two lines fails."""
-    kind = T.MapType(T.LongType(), T.MapType(T.IntegerType(), T.ArrayType(T.LongType())))
+    kind = T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.LongType())))
     maps = spark.read.text(path).select(F.explode(F.from_json("value", kind)).alias("node", "parts"))
     counted = maps.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("parts").alias("parts"))
-    checked = counted.select("node", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two lines for node "), F.col("node").cast("string"))).cast("map<int,array<bigint>>")).otherwise(F.col("parts")).alias("parts"))
-    return checked.select("node", F.explode("parts").alias("component", "neighbours")).select("node", "component", F.explode("neighbours").alias("neighbour"))
+    checked = counted.select("node", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two lines for node "), F.col("node"))).cast("map<string,array<bigint>>")).otherwise(F.col("parts")).alias("parts"))
+    parts = checked.select("node", F.explode("parts").alias("component", "neighbours"))
+    return parts.select(F.col("node").cast("bigint").alias("node"), F.col("component").cast("int").alias("component"), F.explode("neighbours").alias("neighbour"))
 
 
 def read_abbreviations(spark: SparkSession, path: str) -> DataFrame:
