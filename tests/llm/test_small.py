@@ -288,3 +288,21 @@ def test_markov_clusters(spark):
         groups.setdefault(r.cluster, set()).add(r.node)
     want = brute_mcl(edges, [0, 1, 2, 3, 4, 5, 10, 11], 2.0, 1e-3)
     assert {frozenset(g) for g in groups.values()} == want == {frozenset({0, 1, 2}), frozenset({3, 4, 5}), frozenset({10, 11})}
+
+
+# 2, every near pair
+
+
+def test_family_names_meet_all_their_neighbours(spark):
+    # One swap and one substitution from klosaizerik, whose forms are as many as theirs; two more in a chain.
+    data = [(1, "Ginevra N. Klosaizerik"), (1, "Ginevra N. Klosaieerik"), (2, "Ginevra N. Kloasizerik"), (3, "Otto Brandelmi"), (4, "Otto Brandelma"), (5, "Otto Brandelmax"), (6, "Paul Brandelma"), (7, "Ginevra Morvanto")]
+    df = spark.createDataFrame(data, "who int, typed string")
+    got = {r.who: r.entity for r in names.link_names(df, "who", "typed").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7}
+
+
+def test_near_pairs_against_brute_force(spark):
+    words = sorted({"".join(w) for w in itertools.product("ab", repeat=5)} | {"abcdef", "abcdfe", "abcde", "xabcde", "abc", "abcd"})
+    near = names.near_pairs(spark.createDataFrame([(w, 1) for w in words], "token string, n int"))
+    want = {(a, b) for a in words for b in words if a != b and min(len(a), len(b)) > names.SHORT and names.one_edit(a, b)}
+    assert {(r.token, r.other) for r in near.collect()} == want
