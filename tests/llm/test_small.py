@@ -1,6 +1,7 @@
 """Operators on small fixtures against brute force, with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -306,3 +307,35 @@ def test_near_pairs_against_brute_force(spark):
     near = names.near_pairs(spark.createDataFrame([(w, 1) for w in words], "token string, n int"))
     want = {(a, b) for a in words for b in words if a != b and min(len(a), len(b)) > names.SHORT and names.one_edit(a, b)}
     assert {(r.token, r.other) for r in near.collect()} == want
+
+
+# 6, titles of records without a text
+
+
+def test_bare_titles_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "CLASS_BLOCK", 40)
+    rng = random.Random(6)
+    vocabulary = [f"word{i:02}x" for i in range(90)]
+    titles = sorted({tuple(sorted(rng.sample(vocabulary[:3], 1) + rng.sample(vocabulary[3:25], rng.randrange(2)) + rng.sample(vocabulary[25:], rng.randrange(3)))) for _ in range(260)})
+    titles.append(("clerks", "joining", "meet", "stream", "vralbaix", "word00x"))
+    titles.append(("clerks", "joining", "meet", "stream", "vralbiax", "word00x"))
+    data = [(i, " ".join(t), None if i % 3 or t[0] == "clerks" else f"Only text number {i} says {i * 7} of {i * 13} in its own words.") for i, t in enumerate(titles)]
+    count = {}
+    for t in titles:
+        for w in t:
+            count[w] = count.get(w, 0) + 1
+    assert max(count.values()) > 50
+    weight = {w: max(1, int((math.log(len(titles) / n) + 0.1) ** 2 * 10 + 0.5)) for w, n in count.items()}
+    total = [sum(weight[w] for w in t) for t in titles]
+    rarest = [min(t, key=lambda w: (count[w], w)) for t in titles]
+    want = set()
+    for (i, a), (j, b) in itertools.combinations(enumerate(titles), 2):
+        if data[i][2] is None or data[j][2] is None:
+            s = sum(weight[w] for w in set(a) & set(b)) / min(total[i], total[j])
+            alike = (data[i][2] is None and rarest[i] in b) or (data[j][2] is None and rarest[j] in a)
+            if s >= (clusters.TITLES_AGREE if alike else clusters.TITLES_ALIKE):
+                want.add((i, j))
+    df = spark.createDataFrame(data, "id long, title string, text string")
+    _, edges = clusters.similarity_graph(df, "id", "title", "text")
+    assert {(r.src, r.dst) for r in edges.collect()} == want
+    assert (len(titles) - 2, len(titles) - 1) in want
