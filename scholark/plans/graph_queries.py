@@ -117,14 +117,18 @@ def nearest_terms_to_focal(spark, d):
     return near.select("term_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-def _ranked_terms(spark, d):
-    """The first 25 vectors of each label as terms of a collection, relevance by hash of their id."""
+#: Terms of each label that the SQL of ``similarity_graph`` takes.
+SQL_TERMS = 25
+
+
+def _ranked_terms(spark, d, n=rk.MOST_TERMS):
+    """The first ``n`` vectors of each label as terms of a collection, relevance by hash of their id."""
     vectors = table(spark, d, "embeddings").select("label", F.col("vec_id").cast("string").alias("term_display"), F.col("embedding").cast("array<double>").alias("vector"), (F.col("vec_id") * 7919 % 1009).cast("double").alias("relevance"))
-    return rk.top_terms(vectors, ["label"], "relevance", 25)
+    return rk.top_terms(vectors, ["label"], "relevance", n)
 
 
 def similarity_graph(spark, d):
-    return rk.similarity_graph(_ranked_terms(spark, d), ["label"]).select("label", "term_1", "term_2", F.round("similarity", 6).alias("similarity"))
+    return rk.similarity_graph(_ranked_terms(spark, d, SQL_TERMS), ["label"]).select("label", "term_1", "term_2", F.round("similarity", 6).alias("similarity"))
 
 
 def textrank(spark, d):
