@@ -149,9 +149,9 @@ def strategy_comparison(spark, d):
 
 
 def ward_personas(spark, d):
-    """Personas of authors by the vectors of their best-ranked papers."""
+    """Personas of authors by the vectors of all their papers."""
     rows = _rows(spark, d).join(st.papers(spark, d).select("PaperId", "Rank"), "PaperId").join(st.paper_vectors(spark, d), "PaperId")
-    return rc.ward_personas(rows.where("Rank > 450000"), 1.8, 4)
+    return rc.ward_personas(rows, 1.8, 4)
 
 
 QUERIES = {

@@ -7,6 +7,8 @@ from scholark.kernels.greedy import diversified
 from scholark.kernels.pagerank import pagerank
 from scholark.operators import ranking
 from scholark.plans import graph_queries as gq
+from scholark.plans import recommend
+from scholark.plans import standin
 from scholark.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +48,12 @@ def test_diversified_terms_see_every_term(spark, terms):
         s, names = brute_similarity(np.stack([r[2] for r in rows])), [r[1] for r in rows]
         at = {t: i for i, t in enumerate(names)}
         assert got[label] == diversified(names, lambda a, b: s[at[a], at[b]], 0.6)
+
+
+def test_ward_sees_every_paper(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(recommend, "ward_personas", lambda papers, *_: given.append(papers))
+    gq.ward_personas(spark, SF)
+    vectors = standin.paper_vectors(spark, SF).select("PaperId").distinct()
+    want = {(r.AuthorId, r.PaperId) for r in standin.authorship(spark, SF).join(vectors, "PaperId").collect()}
+    assert {(r.AuthorId, r.PaperId) for r in given[0].collect()} == want
