@@ -127,6 +127,11 @@ def redo_too_large(graph: DataFrame, partitions: DataFrame, min_weight: float =
     return partitions.where("error is null").unionByName(redone)
 
 
+def split_egos(graph: DataFrame) -> DataFrame:
+    """``ego_partitions`` with its second pass for nets too large; those too large even then keep their ``error``."""
+    return cut_lineage(redo_too_large(graph, cut_lineage(ego_partitions(graph))))
+
+
 def persona_graph(graph: DataFrame, partitions: DataFrame) -> DataFrame:
     """``src_node``, ``src_component``, ``dst_node``, ``dst_component``, ``weight``: each edge between the two personas that
     see each other; edges one side has no component for go."""
@@ -157,4 +162,4 @@ def partition_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     return one_way(a, b).withColumnRenamed("d", "x").crossJoin(one_way(b, a)).select(((F.col("x") + F.col("d")) / 2).alias("distance"))
 
 
-__all__ = ["author_paper_edges", "both_ways", "coauthor_ratios", "distances_from", "ego_edges", "ego_partitions", "heavy_edges", "max_authors", "min_publications", "overlapping_memberships", "partition_distance", "persona_graph", "project", "publications", "redo_too_large"]
+__all__ = ["author_paper_edges", "both_ways", "coauthor_ratios", "distances_from", "ego_edges", "ego_partitions", "heavy_edges", "max_authors", "min_publications", "overlapping_memberships", "partition_distance", "persona_graph", "project", "publications", "redo_too_large", "split_egos"]

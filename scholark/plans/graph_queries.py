@@ -67,17 +67,17 @@ def ego_neighbours(spark, d):
 
 
 def ego_girvan_newman(spark, d):
-    return co.ego_partitions(_sparse(spark, d))
+    return co.split_egos(_sparse(spark, d))
 
 
 def persona_graph(spark, d):
     graph = _sparse(spark, d)
-    return co.persona_graph(graph, cut_lineage(co.ego_partitions(graph)))
+    return co.persona_graph(graph, co.split_egos(graph))
 
 
 def persona_memberships(spark, d):
     """Overlapping communities: components of the persona graph, read back as clusters of authors."""
-    graph = co.persona_graph(g := _sparse(spark, d), cut_lineage(co.ego_partitions(g)))
+    graph = co.persona_graph(g := _sparse(spark, d), co.split_egos(g))
     name = lambda side: F.concat_ws(":", F.col(f"{side}_node").cast("string"), F.col(f"{side}_component").cast("string"))
     found = components(graph.select(name("src").alias("src"), name("dst").alias("dst")))
     members = found.select(F.split_part("id", F.lit(":"), F.lit(1)).cast("bigint").alias("node"), F.col("component").alias("cluster"))

@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 
+from scholark.kernels import splitting
 from scholark.kernels.greedy import diversified
 from scholark.kernels.pagerank import pagerank
 from scholark.operators import ranking
+from scholark.operators.graph import coauthors as co
 from scholark.plans import graph_queries as gq
 from scholark.plans import recommend
 from scholark.plans import standin
@@ -57,3 +59,16 @@ def test_ward_sees_every_paper(spark, monkeypatch):
     vectors = standin.paper_vectors(spark, SF).select("PaperId").distinct()
     want = {(r.AuthorId, r.PaperId) for r in standin.authorship(spark, SF).join(vectors, "PaperId").collect()}
     assert {(r.AuthorId, r.PaperId) for r in given[0].collect()} == want
+
+
+def test_large_ego_nets_are_split(spark, monkeypatch):
+    hub = [(0, i, 1.0) for i in range(1, co.MOST_NODES + 2)]
+    inner = [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (4, 5, 1.0), (5, 6, 1.0), (4, 6, 1.0), (3, 4, 0.04)]
+    graph = spark.createDataFrame(hub + inner, "src long, dst long, weight double")
+    monkeypatch.setattr(gq, "_sparse", lambda *_: graph)
+    rows = [r for r in gq.ego_girvan_newman(spark, SF).collect() if r.node == 0]
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.component, set()).add(r.neighbour)
+    want, _ = splitting.split(splitting.graph_of(range(1, 7), inner[:6]))
+    assert {r.error for r in rows} == {None} and sorted(map(sorted, parts.values())) == sorted(map(sorted, want))
