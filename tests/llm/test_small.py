@@ -304,8 +304,8 @@ def test_family_names_meet_all_their_neighbours(spark):
 
 def test_near_pairs_against_brute_force(spark):
     words = sorted({"".join(w) for w in itertools.product("ab", repeat=5)} | {"abcdef", "abcdfe", "abcde", "xabcde", "abc", "abcd"})
-    near = names.near_pairs(spark.createDataFrame([(w, 1) for w in words], "token string, n int"))
-    want = {(a, b) for a in words for b in words if a != b and min(len(a), len(b)) > names.SHORT and names.one_edit(a, b)}
+    near = names.near_pairs(spark.createDataFrame([(w,) for w in words * 2], "token string"))
+    want = {(a, b) for a in words for b in words if a != b and min(len(a), len(b)) >= names.SHORT and names.one_edit(a, b)}
     assert {(r.token, r.other) for r in near.collect()} == want
 
 
@@ -339,3 +339,55 @@ def test_bare_titles_against_brute_force(spark, monkeypatch):
     _, edges = clusters.similarity_graph(df, "id", "title", "text")
     assert {(r.src, r.dst) for r in edges.collect()} == want
     assert (len(titles) - 2, len(titles) - 1) in want
+
+
+# 2, what is read whole
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5), st.integers(0, 3), st.data())
+def test_assignment_against_permutations(n, more, data):
+    gains = data.draw(st.lists(st.lists(st.sampled_from([0.0, 0.5, 0.7, 0.9, 1.0]), min_size=n + more, max_size=n + more), min_size=n, max_size=n))
+    best = max(sum(gains[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(n + more), n))
+    assert abs(names.assignment(gains) - best) < 1e-9
+
+
+def linked(spark, typed):
+    df = spark.createDataFrame(typed, "id bigint, name string")
+    return dict(names.link_names(df, "id", "name").collect())
+
+
+def test_names_are_read_whole(spark):
+    got = linked(spark, [
+        (1, "Consortium for Arctic Permafrost Carbon Flux Tundra Methane Ocean River Bravo"), (2, "Consortium for Arctic Permafrost Carbon Flux Tundra Methane Ocean Forest Alpha"),
+        (3, "Arctic Permafrots Carbon Flux Tundra Methane Ocean River Bravo Consortium"),
+        (11, "Garcia, Ana Beatriz Carla"), (12, "Garcia, Ana Beatriz Diana"), (13, "Garcia, Ana Beatrix Carla"), (14, "Garcia, Beatriz Ana Carla"),
+        (21, "Lee, Wilhelmina K."), (22, "Lea, Wilhelmina K."), (23, "Wong, Wilhelmina"), (24, "Wang, Wilhelmina"),
+    ])
+    assert got[1] == got[3] == 1 and got[2] == 2
+    assert got[11] == got[13] == got[14] == 11 and got[12] == 12
+    assert got[21] == got[22] == 21 and got[23] == 23 and got[24] == 24
+
+
+def test_groups_whose_rarest_words_differ(spark):
+    # Both rarest words of each are abbreviated in the other; the common words bring them together.
+    own = ["Quorastel Vendramoth", "Lumbrika Ostervand", "Pellagorn Wistrade", "Drovanek Umbraxis"]
+    common = [(i, f"Maritime Sensor Imaging {w} Consortium") for i, w in enumerate(own, 3)]
+    got = linked(spark, [(1, "Maritime Sensor Imaging Klastermont Zirkovale Consortium"), (2, "Maritime Sensor Imaging Klast Zirk Consortium"), *common])
+    assert got[1] == got[2] == 1 and [got[i] for i, _ in common] == [i for i, _ in common]
+
+
+def test_blocks_of_one_family_name_against_brute_force(spark):
+    rng = random.Random(2)
+    stems = ["dorothea", "henrike", "valentina", "orlando", "cassius", "ingeborg"]
+    typed = []
+    for i in range(300):
+        g = rng.choice(stems)
+        at = rng.randrange(len(g))
+        form = rng.choice([g, g, g[:at] + g[at + 1 :], g[0] + ".", g[:at] + "x" + g[at + 1 :]]).capitalize()
+        typed.append((i, f"Zvendarmik, {form}" + rng.choice(["", "", " Q."])))
+    parsed = {i: names.parse_name(t)["given"] for i, t in typed}
+    want = names.label_persons([" ".join(g) for g in parsed.values()], {})
+    got = linked(spark, typed)
+    for (i, a), (j, b) in itertools.combinations(zip(parsed, want), 2):
+        assert (got[i] == got[j]) == (a is not None and a == b), (typed[i], typed[j])
