@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholark.session import cut_lineage
+from scholark.session import cut_lineage, release
 
 #: Members that one task pairs with a class at most before the class is split.
 CLASS_BLOCK = 2000
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut_lineage(small)
+        before, now = now, cut_lineage(small)
+        release(before)
         said = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if said == mark:
             break

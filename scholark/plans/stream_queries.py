@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholark.session import shared_dir
+from scholark.session import scratch_path
 from scholark.sources.tables import table
 from scholark.streaming.segments import click_segments_stream
 
@@ -23,7 +20,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """The stream's rows once its source is read, from files in the shared folder."""
-    home = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
+    home = scratch_path(spark, "stream")
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/rows")

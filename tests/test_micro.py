@@ -229,3 +229,30 @@ def test_stream_windows(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("sessions").collect())[-1:] == [2]
     versions = spark.createDataFrame([(1, "a", 0, 1), (1, "b", 1, 0)], "k int, v string, batch int, o int")
     assert rows(latest(versions, "k", "o").select("k", "v")) == [(1, "b")]
+
+
+# session
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from scholark import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return spark.sparkContext.getConf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+    copy = session.cut_lineage(spark.range(3))
+    assert copy.count() == 3
+    session.release(copy)
+    with pytest.raises(Exception):
+        spark.read.parquet(copy._cut_path).count()
