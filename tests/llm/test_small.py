@@ -281,14 +281,54 @@ def brute_mcl(edges, nodes, inflation, prune):
     return {frozenset(g) for g in groups.values()}
 
 
-def test_markov_clusters(spark):
-    edges = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (2, 3, 0.05), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (10, 11, 0.8)]
-    df = spark.createDataFrame(edges, "src bigint, dst bigint, weight double")
+def grouped(df):
     groups = {}
-    for r in clusters.markov_clusters(df, inflation=2.0, strong=9.0).collect():
+    for r in df.collect():
         groups.setdefault(r.cluster, set()).add(r.node)
-    want = brute_mcl(edges, [0, 1, 2, 3, 4, 5, 10, 11], 2.0, 1e-3)
-    assert {frozenset(g) for g in groups.values()} == want == {frozenset({0, 1, 2}), frozenset({3, 4, 5}), frozenset({10, 11})}
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("dense", [400, 0])
+def test_markov_clusters(spark, dense):
+    edges = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (2, 3, 0.05), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (10, 11, 0.8), (5, 4, 0.3), (7, 7, 1.0)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint, weight double")
+    want = brute_mcl(edges[:8], [0, 1, 2, 3, 4, 5, 10, 11], 2.0, 1e-3)
+    assert grouped(clusters.markov_clusters(df, dense=dense)) == want == {frozenset({0, 1, 2}), frozenset({3, 4, 5}), frozenset({10, 11})}
+    assert clusters.markov_clusters(df.where("false"), dense=dense).count() == 0
+
+
+def test_a_weak_bridge_is_cut_and_a_hub_is_not_lost(spark):
+    # Two dense versions' groups joined by one weak edge: components give one cluster, the flow two.
+    left, right = range(0, 8), range(20, 26)
+    edges = [(a, b, 0.9) for g in (left, right) for a, b in itertools.combinations(g, 2)] + [(3, 22, 0.42)]
+    edges += [(100, 101 + i, 0.7) for i in range(90)]  # a star: its centre attracts all
+    df = spark.createDataFrame(edges, "src bigint, dst bigint, weight double")
+    want = {frozenset(left), frozenset(right), frozenset(range(100, 191))}
+    assert grouped(clusters.markov_clusters(df)) == want == grouped(clusters.markov_clusters(df, dense=20))
+    flows = {r.node: r.flow for r in clusters.markov_clusters(df).collect()}
+    assert max((flows[n], n) for n in range(100, 191))[1] == 100
+
+
+def test_flow_that_does_not_settle_raises():
+    chain = np.zeros((1, 40, 40))
+    for i in range(39):
+        chain[0, i, i + 1] = chain[0, i + 1, i] = 1.0
+    with pytest.raises(RuntimeError):
+        clusters.flow_block(chain, rounds=2)
+
+
+def test_crowds_under_a_common_phrase_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "CROWD", 6)
+    monkeypatch.setattr(clusters, "CENTRES", 2)
+    kind = {i: i % 4 for i in range(60)}
+    crowds = spark.createDataFrame([(h, i) for h in (1, 2) for i in kind], "h bigint, node bigint")
+    alike = lambda ab: ab.where("node % 4 = other % 4")
+    pairs = {(r.node, r.other) for r in alike(clusters.centred_pairs(crowds, alike)).collect()}
+    root = {i: i for i in kind}
+    for _ in kind:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {i: root[i] for i in kind} == {i: i % 4 for i in kind} and len(pairs) < 60 * 59 / 4
 
 
 # 2, every near pair
