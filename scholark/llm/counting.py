@@ -1,10 +1,15 @@
-"""Frequency of every distinct value by burst-trie counting over adaptively routed prefixes."""
+"""Frequency of every distinct value by burst-trie counting over adaptively routed prefixes.
+
+Values are routed by prefixes that a sample of the table chooses, so that every route gets about as many rows; each
+worker counts the rows of its route in one compact trie, occurrences and different records at once; values that a
+border between routes cuts apart, as it does with a value too frequent for one route, are merged from all workers.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +17,14 @@ from scholark.session import cut_lineage, parallelism
 
 # The white space of Unicode.
 WHITE_SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-#: Prefix lengths at which a route may end, in order.
-LEVELS = (1, 2, 4, 8, 16, 32)
-#: The most routes planned for one shuffle partition, and at most in all; bounds what the driver holds.
-ROUTES_A_PARTITION, MOST_ROUTES = 2, 512
-#: Entries at which a container bursts, and at which a worker hands its tries on.
-CONTAINER, TRIE_ENTRIES = 1024, 400_000
-#: Parts into which the rows of one too frequent value are cut.
-HOT_PARTS = 16
+#: Rows that a route should hold; there are as many routes as the table needs, and one a shuffle partition at least.
+ROUTE_ROWS = 1_000_000
+#: Characters by which routes are told apart before the record decides.
+PREFIX = 64
+#: Entries at which a container bursts.
+CONTAINER = 1024
 
-_SUBTREES = "route string, prefix string, suffixes array<string>, occurrences array<bigint>, records array<bigint>"
+_SUBTREES = "prefix string, suffixes array<string>, occurrences array<bigint>, records array<bigint>, cut boolean"
 
 
 def folded(column: Column) -> Column:
@@ -31,10 +34,22 @@ def folded(column: Column) -> Column:
 
 
 class BurstTrie:
-    """Occurrence and record counters by string: inner nodes by character over dictionaries of suffixes that burst."""
+    """Occurrence and record counters by string: inner nodes by character over dictionaries of suffixes that burst.
+
+    ``see`` counts rows that come record by record; ``add`` adds counters of another trie.
+    """
 
     def __init__(self, container: int = CONTAINER) -> None:
         self.container, self.root, self.entries = container, ({}, None), 0
+        self.record, self.seen = None, set()
+
+    def see(self, key: str, record: object) -> None:
+        """One row; the rows of a record must follow each other."""
+        if record != self.record:
+            self.record = record
+            self.seen.clear()
+        self.add(key, 1, key not in self.seen)
+        self.seen.add(key)
 
     def add(self, key: str, occurrences: int, records: int) -> None:
         node, depth = self.root, 0
@@ -89,91 +104,78 @@ class BurstTrie:
                     stack.append((prefix + sign, child))
 
 
-def _rows(tries: dict[str, BurstTrie]) -> Iterator[pd.DataFrame]:
-    for route, trie in tries.items():
-        found = list(trie.subtrees())
-        yield pd.DataFrame(
-            {
-                "route": route,
-                "prefix": [p for p, _ in found],
-                "suffixes": [list(h) for _, h in found],
-                "occurrences": [[c[0] for c in h.values()] for _, h in found],
-                "records": [[c[1] for c in h.values()] for _, h in found],
-            }
-        )
+def _batch(found: list[tuple[str, list[str], list[int], list[int], bool]]) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [[], [], [], [], []]
+    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["prefix", "suffixes", "occurrences", "records", "cut"])
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tries: dict[str, BurstTrie] = {}
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the rows of one route and hands on its subtrees; its first and last prefix may go on in other routes."""
+    trie, low, high = BurstTrie(), None, None
     for batch in batches:
-        for row in batch.groupby(["route", "value"], sort=False, as_index=False).agg(occurrences=("occurrences", "sum"), records=("occurrences", "size")).itertuples(index=False):
-            tries.setdefault(row.route, BurstTrie()).add(row.value, row.occurrences, row.records)
-        if sum(t.entries for t in tries.values()) > TRIE_ENTRIES:
-            yield from _rows(tries)
-            tries = {}
-    yield from _rows(tries)
+        values = batch.column("value").to_pylist()
+        for value, record in zip(values, batch.column("record").to_pylist()):
+            trie.see(value, (record,))
+        for value in values:
+            head = value[:PREFIX]
+            low, high = head if low is None or head < low else low, head if high is None or head > high else high
+    found = []
+    for prefix, held in trie.subtrees():
+        inner, border = [], []
+        for suffix, (occurrences, records) in held.items():
+            (border if (prefix + suffix)[:PREFIX] in (low, high) else inner).append((suffix, occurrences, records))
+        found += [(prefix, *map(list, zip(*part)), cut) for part, cut in ((inner, False), (border, True)) if part]
+        if len(found) >= 1000:
+            yield _batch(found)
+            found = []
+    yield _batch(found)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges subtrees value by value; equal ones follow each other, so one trie holds one value's prefix at a time."""
+    trie, at = BurstTrie(), None
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        yield _batch([(p, list(h), [c[0] for c in h.values()], [c[1] for c in h.values()], False) for p, h in trie.subtrees()])
 
-
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tries: dict[str, BurstTrie] = {}
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            trie = tries.setdefault(row.route, BurstTrie())
-            for suffix, occurrences, records in zip(row.suffixes, row.occurrences, row.records):
-                trie.add(row.prefix + suffix, int(occurrences), int(records))
-    for trie in tries.values():
-        for prefix, held in trie.subtrees():
-            yield pd.DataFrame({"value": [prefix + s for s in held], "occurrences": [c[0] for c in held.values()], "records": [c[1] for c in held.values()]})
-
+        for value, occurrences, records in zip(*(batch.column(c).to_pylist() for c in ("value", "occurrences", "records"))):
+            if at is not None and value != at and trie.entries >= CONTAINER:
+                yield from rows()
+                trie = BurstTrie()
+            at = value
+            trie.add(value, occurrences, records)
+    yield from rows()
 
-def adaptive_routes(rows: DataFrame, value: str) -> tuple[Callable[[Column], Column], int]:
-    """The route of a value: its shortest prefix that few enough rows share; and the number of rows a route may hold.
 
-    Level by level, the prefixes with too many rows are counted further; their number is below MOST_ROUTES on each level.
-    """
-    total = rows.count()
-    routes = min(MOST_ROUTES, ROUTES_A_PARTITION * parallelism(rows.sparkSession))
-    budget = max(1000, total // routes)
-    heavy: list[tuple[int, list[str]]] = []
-    left = rows.select(F.col(value).alias("v"))
-    for length in LEVELS:
-        prefix = F.substring("v", 1, length)
-        found = [r[0] for r in left.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > budget).collect()]
-        if not found:
-            break
-        heavy.append((length, found))
-        left = left.where(prefix.isin(found))
-
-    def route(column: Column) -> Column:
-        chosen = F.substring(column, 1, LEVELS[len(heavy)]) if len(heavy) < len(LEVELS) else column
-        for length, found in reversed(heavy):
-            prefix = F.substring(column, 1, length)
-            chosen = F.when(~prefix.isin(found), prefix).otherwise(chosen)
-        return chosen
-
-    return route, budget
-
-
-def value_frequencies(df: DataFrame, group: str, value: Column, record: str) -> DataFrame:
+def value_frequencies(df: DataFrame, group: str, value: Column, record: str, route_rows: int = ROUTE_ROWS) -> DataFrame:
     """``group``, ``value``, ``occurrences``, ``records``: how often each value occurs, and in how many records.
 
-    Rows are first combined per (group, value, record) on the JVM, so full copies of rows and long records cost nothing
-    later; then routed by adaptive prefixes, counted in burst tries, and matching subtrees of all workers are merged.
-    The rows of one value too frequent for a route are spread over HOT_PARTS workers.
+    Routes are ranges of prefixes and, within a prefix, of the records' hash: a value with a third of all rows is spread
+    over a third of the routes, while all rows of one value and record meet. The borders come from a sample (of the
+    engine's range partitioning, whose size grows with the number of routes only), so they move the work, not the result.
+    Within a route the rows come record by record into one trie; no worker holds more than its route's values.
 
     Rows with a null group or value are no values; a null record counts as one record. An empty table gives no rows.
     ``group`` must not hold the character U+0001. Extra columns are ignored.
     """
     rows = df.select(F.concat(F.col(group).cast("string"), F.lit("\u0001"), value).alias("value"), F.col(record).alias("record")).where("value is not null")
-    once = cut_lineage(rows.groupBy("value", "record").agg(F.count(F.lit(1)).alias("occurrences")))
-    route, budget = adaptive_routes(once, "value")
-    hot = [r[0] for r in once.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > budget).select("value").collect()]
-    part = F.when(F.col("value").isin(hot), F.pmod(F.xxhash64("record"), F.lit(HOT_PARTS))).otherwise(F.lit(0)) if hot else F.lit(0)
-    routed = once.select(route(F.col("value")).alias("route"), "value", "occurrences", part.alias("part"))
-    subtrees = routed.repartition(parallelism(df.sparkSession), "route", "part").drop("part").mapInPandas(_count, _SUBTREES)
-    merged = subtrees.repartition("route").mapInPandas(_merge, "value string, occurrences bigint, records bigint")
+    routes = max(parallelism(df.sparkSession), -(-df.count() // route_rows))
+    hashed = rows.withColumn("h", F.xxhash64("record"))
+    routed = hashed.repartitionByRange(routes, F.substring("value", 1, PREFIX), "h").sortWithinPartitions("h", "record")
+    subtrees = routed.select("value", "record").mapInArrow(_count, _SUBTREES)
+
+    def flat(trees: DataFrame) -> DataFrame:
+        zipped = F.arrays_zip("suffixes", "occurrences", "records")
+        return trees.select("prefix", "cut", F.explode(zipped).alias("x")).select(F.concat("prefix", "x.suffixes").alias("value"), "x.occurrences", "x.records", "cut")
+
+    counted = cut_lineage(subtrees)
+    border = flat(counted.where("cut")).drop("cut")
+    merged = border.repartition("value").sortWithinPartitions("value").mapInArrow(_merge, _SUBTREES)
+    both = flat(counted.where("not cut")).drop("cut").unionByName(flat(merged).drop("cut"))
     at = F.instr("value", "\u0001")
-    return merged.select(F.substring("value", F.lit(1), at - 1).alias(group), F.substring("value", at + 1, F.length("value")).alias("value"), "occurrences", "records")
+    return both.select(F.substring("value", F.lit(1), at - 1).alias(group), F.substring("value", at + 1, F.length("value")).alias("value"), "occurrences", "records")
 
 
 def banded(frequencies: DataFrame, n_records: DataFrame, rare_below: int, common_share: float) -> DataFrame:

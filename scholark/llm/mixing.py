@@ -9,16 +9,22 @@ documents. Within a block documents take disjoint places of one permutation, and
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from decimal import Decimal, localcontext
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholark.llm.encoding import VOCABULARIES, token_counts
 from scholark.session import cut_lineage
 
-#: Blocks into which each source is cut to sum its tokens in order, and output shards.
-BLOCKS, SHARDS = 512, 16
+#: Rows of a block of a source, and rows of an output shard; of both there are as many as the data need.
+BLOCK_ROWS, SHARD_ROWS = 100_000, 250_000
+#: Shards at least; the most sources and the most (source, shard) quotas that one plan may have.
+LEAST_SHARDS, MOST_SOURCES, MOST_QUOTAS = 16, 100_000, 20_000_000
 
 
 def mix_plan(sizes: dict[str, int], shares: dict[str, float], repeats: dict[str, int], total: float | None = None) -> dict[str, dict]:
@@ -69,72 +75,121 @@ def split_counts(counts: dict[str, int], shards: int, seed: int) -> dict[str, li
     return result
 
 
+#: Urns from which the generator draws itself.
+GENERATOR_URN = 1_000_000_000
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     if n <= 0 or good <= 0:
         return 0
-    if good + bad < 1_000_000_000:
+    if bad <= 0:
+        return n
+    if good + bad < GENERATOR_URN:
         return int(rng.hypergeometric(good, bad, n))
-    total = good + bad  # beyond the generator's range the normal limit of the same law, kept within what is possible
-    mean = n * good / total
-    deviation = math.sqrt(max(0.0, n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))))
-    return int(min(good, n, max(0, n - bad, round(rng.normal(mean, deviation)))))
+    return _inverted(rng.random(), good, bad, n)
+
+
+def _log_factorial(n: int) -> Decimal:
+    """ln n! by Stirling's series, in the current decimal precision; its error is far below that of a double."""
+    if n < 2000:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    half_log_two_pi = Decimal("0.918938533204672741780329736405617639861397473637783412817")
+    return x * x.ln() - x + x.ln() / 2 + half_log_two_pi + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, total: float | None = None, shards: int = SHARDS, seed: int = 7, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+def _inverted(u: float, good: int, bad: int, n: int) -> int:
+    """The same law by inversion for urns of any size: terms are summed from the mode outwards until they exceed ``u``.
+
+    The mode's term comes from exact logarithms, each further one from its neighbour, so the number of steps is a few
+    standard deviations, the square root of what is drawn.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
+    with localcontext() as context:
+        context.prec = 60
+        choose = lambda a, b: _log_factorial(a) - _log_factorial(b) - _log_factorial(a - b)
+        term = float((choose(good, mode) + choose(bad, n - mode) - choose(good + bad, n)).exp())
+    up, down, at_up, at_down, left = term, term, mode, mode, u - term
+    while left > 0:
+        more = up * ((good - at_up) * (n - at_up) / ((at_up + 1) * (bad - n + at_up + 1))) if at_up < high else 0.0
+        less = down * (at_down * (bad - n + at_down) / ((good - at_down + 1) * (n - at_down + 1))) if at_down > low else 0.0
+        if more <= 0 and less <= 0:
+            return mode  # what rounding left over
+        if more >= less:
+            up, at_up, left = more, at_up + 1, left - more
+            if left <= 0:
+                return at_up
+        else:
+            down, at_down, left = less, at_down - 1, left - less
+            if left <= 0:
+                return at_down
+    return mode
+
+
+def _running(rows: DataFrame, block: str, total: DataFrame, alias: str) -> DataFrame:
+    """``rows`` with ``alias``: what lies in their source's blocks before theirs; a window over blocks, not over rows."""
+    before = F.sum("t").over(Window.partitionBy("source").orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(total.select("source", block, F.coalesce(before, F.lit(0)).alias(alias)), ["source", block])
+
+
+def mix_sources(documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, total: float | None = None, shards: int | None = None, seed: int = 7, name: str = "byte_bpe_50k", folder: str = VOCABULARIES, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``key``, ``source``, ``n_tokens``, ``copy`` (from 1), ``shard``, ``position``: the documents of the mix, in order.
 
-    ``targets`` has ``source``, ``target_share`` and ``max_repeats`` (a small table: more than 100000 sources are
+    ``targets`` has ``source``, ``target_share`` and ``max_repeats`` (a small table: more than MOST_SOURCES sources are
     refused). A source's documents are all used ``passes`` times; the last, partial pass takes documents in the order
     of a hash as long as they fit its quota, so a source misses its quota by less than one document. No document is
-    used more than ``max_repeats`` times. Documents without tokens (null and empty texts), of a null or unlisted source
-    take no part. An empty table gives no rows; extra columns are ignored.
+    used more than ``max_repeats`` times. Sources are cut into blocks of about ``block_rows`` and the mix into shards of about
+    ``shard_rows`` (or the given number), so no task holds more of a source, or of the mix, than that. Only one row a source
+    reaches the driver. Documents without tokens (null and empty texts), of a null or unlisted source take no part. An
+    empty table gives no rows; extra columns are ignored.
     """
-    listed = targets.select("source", "target_share", "max_repeats").dropna().limit(100_001).collect()
-    if len(listed) > 100_000:
-        raise ValueError("more than 100000 sources")
-    shares, repeats = {r[0]: r[1] for r in listed}, {r[0]: r[2] for r in listed}
-    kept = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source")).where(F.col("source").isin(list(shares)) & (F.length("text") > 0))
-    counted = token_counts(kept, "key", "text", name, folder).where("n_tokens > 0")
-    order = F.xxhash64("key", F.lit(seed))
-    sized = cut_lineage(kept.select("key", "source").distinct().join(counted, "key").withColumn("h", order).withColumn("block", F.pmod(F.shiftright("h", 20), F.lit(BLOCKS)).cast("int")))
-    blocks = sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()  # sources x BLOCKS rows at most
-
-    sizes: dict[str, int] = {}
-    for r in blocks:
-        sizes[r["source"]] = sizes.get(r["source"], 0) + r["t"]
-    plan = mix_plan(sizes, shares, repeats, total)
-    before, seen = [], dict.fromkeys(sizes, 0)
-    for r in sorted(blocks, key=lambda r: (r["source"], r["block"])):
-        before.append((r["source"], r["block"], seen[r["source"]], plan[r["source"]]["rest"], plan[r["source"]]["passes"]))
-        seen[r["source"]] += r["t"]
     spark = documents.sparkSession
-    starts = spark.createDataFrame(before, "source string, block int, before bigint, rest bigint, passes int")
+    listed = targets.select("source", "target_share", "max_repeats").dropna().limit(MOST_SOURCES + 1).collect()
+    if len(listed) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    shares, repeats = {r[0]: r[1] for r in listed}, {r[0]: r[2] for r in listed}
+    wanted = F.broadcast(spark.createDataFrame([(s,) for s in shares], "source string"))  # at most MOST_SOURCES rows
+    kept = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source")).where(F.length("text") > 0).join(wanted, "source", "left_semi")
+    sized = token_counts(kept, ["key", "source"], "text", name, folder).where("n_tokens > 0").groupBy("key", "source").agg(F.min("n_tokens").alias("n_tokens"))
+    sized = cut_lineage(sized.withColumn("h", F.xxhash64("key", F.lit(seed))))
+
+    sums = {r["source"]: (r["t"], r["n"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}  # a row a source
+    plan = mix_plan({s: t for s, (t, _) in sums.items()}, shares, repeats, total)
+    todo = [(s, plan[s]["rest"], plan[s]["passes"], -(-n // block_rows)) for s, (_, n) in sums.items()]
+    quotas = F.broadcast(spark.createDataFrame(todo, "source string, rest bigint, passes int, blocks bigint"))
+    # Hashes fall into as many equal ranges as the source has blocks, so blocks follow each other in the order of the hash.
+    block = F.floor((F.shiftright(F.col("h"), 33) + F.lit(1 << 30)) * F.col("blocks") / F.lit(1 << 31)).cast("bigint")
+    blocked = sized.join(quotas, "source").withColumn("block", block)
     running = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0))
-    placed = sized.join(F.broadcast(starts), ["source", "block"]).withColumn("end", F.col("before") + running)
+    placed = _running(blocked, "block", blocked.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")), "before").withColumn("end", F.col("before") + running)
     uses = F.col("passes") + F.when(F.col("end") <= F.col("rest"), 1).otherwise(0)
-    copies = placed.withColumn("uses", uses).where("uses > 0").select("key", "source", "n_tokens", "block", "h", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy"))
-    # Each copy gets a number within its source: numbers of its block, in an order of its own for every copy.
-    mixed = cut_lineage(copies.withColumn("g", F.xxhash64("key", "copy", F.lit(seed + 1))).withColumn("lot", F.pmod(F.shiftright("g", 16), F.lit(BLOCKS)).cast("int")))
-    lots = mixed.groupBy("source", "lot").agg(F.count(F.lit(1)).alias("n")).collect()  # sources x BLOCKS rows at most
-    counts: dict[str, int] = {}
-    offsets = []
-    for r in sorted(lots, key=lambda r: (r["source"], r["lot"])):
-        offsets.append((r["source"], r["lot"], counts.get(r["source"], 0)))
-        counts[r["source"]] = counts.get(r["source"], 0) + r["n"]
-    quotas = split_counts(counts, shards, seed)
-    ranges = []
-    for s, parts in quotas.items():
-        begin = 0
-        for shard, n in enumerate(parts):
-            if n:
-                ranges.append((s, begin, begin + n, shard))
-            begin += n
-    number = F.col("offset") + F.row_number().over(Window.partitionBy("source", "lot").orderBy("g", "key", "copy")) - 1
-    numbered = mixed.join(F.broadcast(spark.createDataFrame(offsets, "source string, lot int, offset bigint")), ["source", "lot"]).withColumn("number", number)
-    cut = spark.createDataFrame(ranges, "source string, low bigint, high bigint, shard int").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("low", "high", "shard"))).alias("ranges"))
-    sharded = numbered.join(F.broadcast(cut), "source").withColumn("shard", F.filter("ranges", lambda r: (r["low"] <= F.col("number")) & (F.col("number") < r["high"]))[0]["shard"])
+    copies = placed.withColumn("uses", uses).where("uses > 0").select("key", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy"))
+    mixed = cut_lineage(copies.withColumn("g", F.xxhash64("key", "copy", F.lit(seed + 1))))
+
+    # Each copy gets a number within its source: numbers of its lot, in an order of its own for every copy.
+    counts = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a source
+    n_shards = shards or max(LEAST_SHARDS, -(-sum(counts.values()) // shard_rows))
+    if n_shards * max(1, len(counts)) > MOST_QUOTAS:
+        raise ValueError(f"{n_shards} shards of {len(counts)} sources are more than {MOST_QUOTAS} quotas; ask for fewer, larger shards")
+    lots = F.broadcast(spark.createDataFrame([(s, -(-n // block_rows)) for s, n in counts.items()], "source string, lots bigint"))
+    lotted = mixed.join(lots, "source").withColumn("lot", F.pmod(F.shiftright("g", 16), F.col("lots")))
+    place = F.row_number().over(Window.partitionBy("source", "lot").orderBy("g", "key", "copy")) - 1
+    numbered = _running(lotted, "lot", lotted.groupBy("source", "lot").agg(F.count(F.lit(1)).alias("t")), "offset").withColumn("number", F.col("offset") + place)
+    ends = {s: np.cumsum(parts) for s, parts in split_counts(counts, n_shards, seed).items()}
+    shared = spark.sparkContext.broadcast(ends)  # at most MOST_QUOTAS numbers
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shard = np.zeros(len(batch), dtype=np.int32)
+            for s, at in batch.groupby("source", sort=False).indices.items():
+                shard[at] = np.searchsorted(shared.value[s], batch["number"].to_numpy()[at], side="right")
+            yield batch.drop(columns="number").assign(shard=shard)
+
+    fields = [numbered.schema[c] for c in ("key", "source", "n_tokens", "copy", "g")]
+    dealt = numbered.select("key", "source", "n_tokens", "copy", "g", "number").mapInPandas(deal, T.StructType([*fields, T.StructField("shard", T.IntegerType())]))
     shuffled = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("g", F.lit(seed + 2)), "key", "copy"))
-    return sharded.withColumn("position", shuffled).select(F.col("key").alias(key), "source", "n_tokens", "copy", "shard", "position")
+    return dealt.withColumn("position", shuffled).select(F.col("key").alias(key), "source", "n_tokens", "copy", "shard", "position")
 
 
 def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:

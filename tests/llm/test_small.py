@@ -111,6 +111,9 @@ def test_frequencies(spark):
             docs.add(doc)
     got = {(r.label, r.value): (r.occurrences, r.records) for r in counting.value_frequencies(df, "label", counting.folded(F.col("term")), "doc").collect()}
     assert got == {k: (n, len(d)) for k, (n, d) in want.items()}
+    # Routes of few rows cut values apart, the most frequent ones many times.
+    routed = {(r.label, r.value): (r.occurrences, r.records) for r in counting.value_frequencies(df, "label", counting.folded(F.col("term")), "doc", route_rows=15).collect()}
+    assert routed == got
     assert counting.value_frequencies(df.where("false"), "label", counting.folded(F.col("term")), "doc").count() == 0
 
 
@@ -144,6 +147,19 @@ def test_split_counts_are_exact():
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_large_urns_are_drawn_by_the_same_law(monkeypatch):
+    # Inversion against the exact terms of small urns, and against mean and deviation of one beyond the generator.
+    for good, bad, n in ((5, 7, 6), (40, 3, 20), (1, 60, 30), (9, 9, 18)):
+        terms = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(min(n, good) + 1)]
+        steps = 20_000
+        drawn = [mixing._inverted((i + 0.5) / steps, good, bad, n) for i in range(steps)]
+        for k, p in enumerate(terms):
+            assert abs(drawn.count(k) / steps - p) < 1e-3
+    rng, good, bad, n = np.random.default_rng(1), 3_000_000_000, 5_000_000_000, 10_000
+    drawn = np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(2000)])
+    assert abs(drawn.mean() - n * 3 / 8) < 5 and abs(drawn.std() - math.sqrt(n * 15 / 64)) < 3
+
+
 @pytest.mark.parametrize("total", [None, 300.0, 100_000.0])
 def test_mix(spark, total):
     data = [(i, f"some words {i} " * (1 + i % 4), "big" if i % 3 else "small") for i in range(300)] + [(900, None, "big"), (901, "", "small"), (902, "words", None), (903, "words", "unlisted")]
@@ -160,6 +176,10 @@ def test_mix(spark, total):
     else:
         assert uses[mix[mix.source == "small"].doc.unique()].min() == 3
     assert mixing.mix_sources(df.where("false"), targets, "doc", "t", "s").count() == 0
+    blocks = mixing.mix_sources(df, targets, "doc", "t", "s", total, block_rows=20, shard_rows=25).toPandas()
+    assert sorted(blocks.groupby("source").n_tokens.sum()) == sorted(mix.groupby("source").n_tokens.sum())
+    assert not blocks.duplicated(["doc", "copy"]).any() and blocks.groupby("shard").size().max() <= 26
+    assert all(sorted(g.position) == list(range(1, len(g) + 1)) for _, g in blocks.groupby("shard"))
 
 
 # 10
