@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholark.llm.clusters import cluster_records, describe_clusters
@@ -12,10 +12,11 @@ from scholark.llm.formatting import collapse_formatting, copy_counts
 from scholark.llm.mixing import mix_report, mix_sources
 from scholark.llm.names import link_names
 from scholark.llm.neighbours import most_similar
-from scholark.llm.residue import mark_residue
+from scholark.llm.residue import exclude_residue, mark_residue
 from scholark.llm.sql import ORACLES
 from scholark.llm.topn import top_n_per_group
 from scholark.operators.graph.components import pairs_within
+from scholark.session import cut_lineage
 from scholark.sources.tables import table
 
 
@@ -117,6 +118,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every listed source whether its mix keeps to its cap, and to its share but for a document of each source; and
+    whether shards are of one size and numbered without gaps."""
+    mix, targets = cut_lineage(p9_mix(spark, sf_dir)), table(spark, sf_dir, "mix_targets")
+    slack = mix.groupBy("source").agg(F.max("n_tokens").alias("m")).agg(F.sum("m").alias("slack"))
+    shards = mix.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last"), F.countDistinct("position").alias("different"))
+    whole = shards.agg(((F.max("n") - F.min("n") <= 1) & F.min((F.col("n") == F.col("last")) & (F.col("n") == F.col("different")))).alias("shards_even"))
+    report = mix_report(mix, targets).join(targets.select("source", "max_repeats"), "source").crossJoin(F.broadcast(slack)).crossJoin(F.broadcast(whole))
+    total = F.sum("n_tokens").over(Window.partitionBy())  # a row a source
+    on_share = F.abs(F.col("n_tokens") - F.col("target_share") * total) <= F.col("slack")
+    return report.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"), on_share.alias("on_share"), "shards_even")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_residue(table(spark, sf_dir, "documents"), "doc_id", "text").where("residue is not null").select("doc_id").distinct()
 
@@ -127,6 +141,11 @@ def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy(F.coalesce("residue", F.lit("content")).alias("residue")).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are left once residue is excluded."""
+    return exclude_residue(table(spark, sf_dir, "documents"), "text").select("doc_id", "source", "n_chars")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_entities": p2_entities,
@@ -143,6 +162,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_within": p9_within,
     "p10_found": p10_found,
     "p10_kinds": p10_kinds,
+    "p10_kept": p10_kept,
 }

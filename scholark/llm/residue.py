@@ -47,11 +47,14 @@ SLOTS = {
     "underscore pair": r"(?<![\w])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![\w])",
     "suffix": r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*_PLACEHOLDER\b",
     "goes here": rf"\(\s*{_WORDS}\s+(?i:goes|go|comes)\s+(?i:here)\s*\)",
+    "bare mark": r"(?<![\w\[{<(\"'“‘«`/\-])(?:TBD|TBA|TBC|XXX+)(?![\w\]}>)\"'”’»`/\-])",
+    "masked number": r"(?<=\p{L}[ \u00a0])(?:\?{2,}(?:[.,]\?+)?|X+[.,]X+)(?=[ \u00a0]?(?:\p{Ll}|%))",
     "marked block": r"<!--\s*(?:BEGIN|START|LOOP|END)\s+[\w ]{1,40}-->",
 }
 _SLOT = regex.compile("|".join(f"(?:{p})" for p in SLOTS.values()))
 #: What any slot must hold; most texts don't, and are not searched further.
-_HINT = regex.compile(r"[{\[<@%]|##|__|_PLACEHOLDER|&lt;|(?i:\b(?:goes|go|comes)\s+here)")
+_MARKS = ("{", "[", "<", "@@", "%", "##", "__", "_PLACEHOLDER", "&lt;", "TBD", "TBA", "TBC", "XX", "X.X", "X,X", "??")
+_GOES_HERE = regex.compile(r"(?i)\b(?:goes|go|comes)\s+here")
 _FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~\n.*?(?:\n~~~|\Z)|(?m:^(?: {4}|\t)[^\n]*$)|<(code|pre)\b[^>]*>.*?</\1>|`[^`\n]{1,200}`", regex.S)
 _MATHS = regex.compile(r"\$[^$\n]{1,200}\$|\\\([^\n]{1,200}?\\\)|\\[a-zA-Z]+\{[^{}\n]*\}")
 #: Words by which a sentence talks about slots instead of holding one.
@@ -68,6 +71,8 @@ LATIN = frozenset(
     ornare massa ligula mauris vestibulum pellentesque vel at ac nec integer nam praesent pharetra tellus urna odio justo""".split()
 )
 
+#: Characters of a unit beyond which it can't be frame.
+LONGEST_FRAME = 400
 #: Lines and sentences that frame a page: navigation, footers and fixed headings.
 _FRAME = regex.compile(
     r"""(?ix)^(?: (?:skip\s+to\s+(?:main\s+)?content|menu|home|back|help|login|log\s+in|search|contact|imprint|read\s+more|share\s+this\s+\w+|next|previous|top|print)
@@ -121,17 +126,24 @@ _FILLER = regex.compile(
     | \bblindtext\b | \bplatzhalter(?:text)?\b | \bhier\s+steht\s+(?:sp(?:ä|ae|a)ter|bald)\b | \bf[üu]lltext\b | \btexte\s+(?:provisoire|de\s+remplissage|factice)\b | \bsera\s+remplac[ée]\b | \btexto\s+(?:de\s+(?:relleno|ejemplo|muestra|exemplo)|provis[óo]rio|provisional|aqu[íi])\b | \bser[áa]\s+(?:reemplazado|substitu[íi]do)\b
     | \bтекст(?:-|\s+)заполнитель\b | \bздесь\s+(?:будет|появится)\s+текст\b | \bрыба-текст\b | 此处(?:填写|输入|插入) | 占位(?:符|文字|文本) | 示例文字 | 内容待(?:补充|定|添加)"""
 )
-#: A unit without any of these words (or Han signs, or a server's signs) holds no message and is not searched.
-_CUES = frozenset(
-    """javascript java js script scripts scripting skripte скрипты сценарии loading wait reload try yours happens cookies settings
-    found exist exists denied forbidden unauthorized gateway unavailable requests request timeout time-out timed out refused reset status error fehler
+# Words without one of which a unit (without Han signs or a server's signs) holds no message of a kind.
+SCRIPT_CUES = frozenset(
+    """javascript java js script scripts scripting skripte скрипты сценарии loading wait reload once yours happens cookies settings
+    script-capable javascript-enabled script-enabled javascript-capable""".split()
+)
+ERROR_CUES = frozenset(
+    """java found exist exists denied forbidden unauthorized gateway unavailable requests request timeout time-out timed out refused reset status error fehler
     erreur erro ошибка server serverfehler servidor serveur moved back return pudo página pagina volte vuelva seite existiert versuchen accès acces droits
     introuvable trouvée acceso acesso zugriff страница доступ удалось access permission authorized authorised allowed slow retry again rate maintenance
     temporarily oops wrong occurred sorry connect connection upstream traceback file sign log session verify captcha robot traffic tick box ai cannot
-    can't can’t couldn't couldn’t loaded reached displayed opened completed processed dummy placeholder sample filler example provisional your copy text content abstract title
-    click type paste replace overwrite coming follow come nothing construction added written announced supplied filled blindtext platzhalter platzhaltertext
-    steht fülltext fulltext texte texto remplace remplacé será sera текст заполнитель рыба-текст script-capable javascript-enabled script-enabled javascript-capable""".split()
+    can't can’t couldn't couldn’t loaded reached displayed opened completed processed""".split()
+)
+FILLER_CUES = frozenset(
+    """dummy placeholder sample filler example provisional your copy text content abstract title click type paste replace overwrite coming follow come nothing
+    construction added written announced supplied filled blindtext platzhalter platzhaltertext steht fülltext fulltext texte texto remplace remplacé será sera
+    текст заполнитель рыба-текст""".split()
 )
+_MESSAGES = (("script", SCRIPT_CUES, _SCRIPT), ("error", ERROR_CUES, _ERROR), ("filler", FILLER_CUES, _FILLER))
 _CODE = regex.compile(r"[\p{Han}{]|\b[45]\d\d\b|\w(?:Error|Exception)\b|^\s*at\s")
 _KEYBOARD = regex.compile(r"(?i)^(?:(\p{L})\1+|(?:blah?|bla|foo|bar|baz|test|etc|qwer\w*|asdf\w*|jkl\w*|zxcv\w*|qux|abc|xyz|dummy|foobar|\d+|abstract|title|text)\W*)$")
 _QUOTED = regex.compile(r"“[^”\n]*”|\"[^\"\n{}:]*\"(?!\s*[:,}])|«[^»\n]*»|„[^“\n]*“")
@@ -165,7 +177,7 @@ def _quoted(sentence: str, start: int, end: int) -> bool:
 
 def open_slots(text: str) -> list[str]:
     """Slots of the text's own template that were left unfilled, those in code, formulas, quotes or talk about slots aside."""
-    if not _HINT.search(text):
+    if not any(m in text for m in _MARKS) and not (("here" in text or "HERE" in text or "Here" in text) and _GOES_HERE.search(text)):
         return []
     text = _tidy(text)
     if not _SLOT.search(text):
@@ -186,23 +198,34 @@ def open_slots(text: str) -> list[str]:
     return found
 
 
-def _body(text: str) -> tuple[list[str], list[str]]:
-    """Units (lines, cut into sentences) of the text without frame, and the heading-like lines that were set aside."""
-    text = _TAG.sub("\n", _HEAD_TAG.sub("\n", _tidy(text)))
-    units, heads = [], []
-    lines = [line.strip() for line in text.split("\n") if line.strip()]
+def _units(text: str) -> Iterator[str]:
+    """Units (lines, cut into sentences) of the text one after another, without frame and a first line that is a heading."""
+    lines = [line.strip() for line in _TAG.sub("\n", _HEAD_TAG.sub("\n", _tidy(text))).split("\n") if line.strip()]
     for i, line in enumerate(lines):
-        if _FRAME.match(line) and not _message(line):
+        if _frame(line):
             continue
         if i == 0 and len(lines) > 1 and len(_WORD.findall(line)) <= 14 and not _STOP.search(line) and not _message(line):
-            heads.append(line)
             continue
-        units += [s.strip() for s in _SPLIT.split(line) if s and s.strip() and not (_FRAME.match(s.strip()) and not _message(s))]
-    return units, heads
+        for part in _SPLIT.split(line):
+            if part and (unit := part.strip()) and not _frame(unit):
+                yield unit
+
+
+def _frame(unit: str) -> bool:
+    return len(unit) <= LONGEST_FRAME and bool(_FRAME.match(unit)) and not _message(unit)
+
+
+def _kind(unit: str, words: list[str]) -> str | None:
+    """The kind of message in a unit of these (lower-case) words."""
+    signs = bool(_CODE.search(unit))
+    for kind, cues, pattern in _MESSAGES:
+        if (signs or not cues.isdisjoint(words)) and pattern.search(unit):
+            return kind
+    return None
 
 
 def _message(unit: str) -> bool:
-    return bool(_ERROR.search(unit) or _SCRIPT.search(unit) or _FILLER.search(unit))
+    return _kind(unit, [w.lower() for w in _WORD.findall(unit)]) is not None
 
 
 def _plain_filler(units: list[str], words: list[str]) -> bool:
@@ -216,29 +239,34 @@ def _plain_filler(units: list[str], words: list[str]) -> bool:
 
 
 def without_content(text: str) -> str | None:
-    """``filler``, ``error`` or ``script`` if the body consists of that, else None. Quoted messages are content."""
-    units, _ = _body(text)
-    parts = [[w.lower() for w in _WORD.findall(u)] for u in units]
-    words = [w for part in parts for w in part]
+    """``filler``, ``error`` or ``script`` if the body consists of that, else None. Quoted messages are content.
+
+    Units are read until those of content outweigh what the whole text could spare.
+    """
+    whole = [w.lower() for w in _WORD.findall(text)]
+    limit = (1 - DENSITY) * (len(whole) + (len(_HAN.findall(text)) if not text.isascii() else 0))
+    # Frame aside, a text can only be mere filler if half of it looks so with its frame.
+    if 2 * sum(w in LATIN for w in whole) >= LATIN_SHARE * len(whole) or len(set(whole)) <= max(24, 2 * DIFFERENT_SHARE * len(whole)):
+        limit = float("inf")
+    units, words, kinds, content, total = [], [], {"script": 0, "error": 0, "filler": 0}, 0, 0
+    for unit in _units(text):
+        part = [w.lower() for w in _WORD.findall(unit)]
+        weight = len(part) + (len(_HAN.findall(unit)) // 2 if not unit.isascii() else 0)
+        kind = _kind(_QUOTED.sub(" ", unit), part)
+        if kind:
+            kinds[kind] += weight
+        elif not (units and weight <= 9 and any(kinds.values())):  # a short sentence may go on from a message
+            content += weight
+            if content > limit:
+                return None
+        units.append(unit)
+        words += part
+        total += weight
     if not words:
         return None
     if _plain_filler(units, words):
         return "filler"
-    weights = [len(part) + (len(_HAN.findall(u)) // 2 if not u.isascii() else 0) for u, part in zip(units, parts)]
-    spare = (1 - DENSITY) * sum(weights)
-    kinds = {"script": 0, "error": 0, "filler": 0}
-    for at, (unit, part, weight) in enumerate(zip(units, parts, weights)):
-        kind = None
-        if not _CUES.isdisjoint(part) or _CODE.search(unit):
-            plain = _QUOTED.sub(" ", unit)
-            kind = "script" if _SCRIPT.search(plain) else "error" if _ERROR.search(plain) else "filler" if _FILLER.search(plain) else None
-        if kind:
-            kinds[kind] += weight
-        elif not (at and weight <= 9 and any(kinds.values())):  # a short sentence may go on from a message
-            spare -= weight
-            if spare < 0:
-                return None
-    return max(kinds, key=kinds.get) if any(kinds.values()) else None
+    return max(kinds, key=kinds.get) if any(kinds.values()) and content <= (1 - DENSITY) * total else None
 
 
 def residue_kind(text: str | None) -> str | None:

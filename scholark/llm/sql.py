@@ -31,6 +31,7 @@ ORACLES = {
     "p3_top_terms": _TOP + " SELECT AuthorId, term_id, tfidf_score, term_display, rk AS \"rank\" FROM r WHERE rk <= 5",
     "p5_found": _FORMS + " SELECT x.PaperId AS PaperId_1, y.PaperId AS PaperId_2 FROM m x JOIN m y ON x.c = y.c AND x.PaperId < y.PaperId",
     "p5_copies": _FORMS + " SELECT min(PaperId) AS representative, count(*) AS n_records FROM m GROUP BY c",
+    "p9_within": "SELECT source, true AS within_cap, true AS on_share, true AS shards_even FROM mix_targets",
     "p7_found": _COUNTS + " SELECT label, term_cleaned, band FROM f WHERE band IS NOT NULL",
     "p7_frequencies": _COUNTS + """,
              g AS (SELECT DISTINCT chunk_id, label, nullif(trim(regexp_replace(lower(term_cleaned), '[\\s\\x{85}\\p{Z}\\x1c-\\x1f]+', ' ', 'g')), '') AS term_cleaned, term_count FROM grp_counts),

@@ -191,6 +191,11 @@ def test_mix(spark, total):
         ("Dear {{ name }},\nyour paper is fine.", "slot"),
         ("In total, %PEOPLE_COUNT% took part in our long study of maps.", "slot"),
         ("Data are at [INSERT URL]. We thank all.", "slot"),
+        ("Gains over the best run reach ??.? points on all maps we drew.", "slot"),
+        ("Gains over the best run reach XX.X percent on all maps.", "slot"),
+        ("The number of readers is TBD in this draft of the map study.", "slot"),
+        ("Is this so?? Readers asked 'why???' often, and the XX karyotype is common.", None),
+        ("We wrote 'TBD' wherever a value was a placeholder in the older set.", None),
         ("We use {{title}} markers; `[INSERT TITLE]` is one of the strings such as those.", None),
         ('Engines mark a slot as "${name}" in general.', None),
         ("Run\n\n    make --user ${USER}\n\nResults follow in the next part of this text.", None),
