@@ -48,7 +48,7 @@ class BurstTrie:
         if record != self.record:
             self.record = record
             self.seen.clear()
-        self.add(key, 1, key not in self.seen)
+        self.add(key, 1, int(key not in self.seen))
         self.seen.add(key)
 
     def add(self, key: str, occurrences: int, records: int) -> None:

@@ -234,20 +234,24 @@ def test_stream_windows(spark, tmp_path):
 # session
 
 
-def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+def test_no_machine_local_folder_on_a_cluster(spark):
     from scholark import session
 
+    class Unset:
+        def get(self, *_):
+            return None
+
     class Context:
         master = "spark://host:7077"
 
         def getConf(self):
-            return spark.sparkContext.getConf()
+            return Unset()
 
         def getCheckpointDir(self):
             return None
 
     class Session:
-        conf, sparkContext = spark.conf, Context()
+        conf, sparkContext = Unset(), Context()
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
