@@ -30,6 +30,11 @@ TASK_WORDS = (
     "translation summarization simplification completion question answering dialogue conversation chatbot assistant knowledge graph extraction construction "
     "reasoning inference entailment contradiction paraphrase similarity"
 ).split()
+#: Words that a term loses at its end where terms are merged, in the order in which they go (one comes up twice).
+GENERIC_TAILS = (
+    "component", "block", "module", "task", "methodology", "component", "technology", "mechanism", "approach", "method", "technique", "framework", "system", "model",
+    "algorithm", "procedure",
+)
 METHOD_PATTERNS = ("method", "algorithm", "model", "framework", "approach")
 IN_TERM, IN_CONTEXT, TIE_WORDS = 1.0, 0.5, 2
 SUFFIXES = ("-based", "-driven", "-aware", "-free", "tion", "sion", "ness", "ment")

@@ -65,12 +65,22 @@ def span_text(sentences: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(F.flatten(sentences), start + 1, end - start + 1), " ")
 
 
+def letters(place: Column, most: int = 4) -> Column:
+    """A, B, ..., Z, AA, AB, ... for places from 1 on, up to ``most`` letters."""
+    signs = []
+    for i in reversed(range(most)):
+        shorter = sum(26**k for k in range(1, i + 1))  # names of fewer letters than this sign needs
+        signs.append(F.when(place > shorter, F.chr(F.lit(65) + F.floor((place - 1 - shorter) / 26**i) % 26)).otherwise(F.lit("")))
+    return F.concat(*signs)
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def has_bracket(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"[()<>{}\[\]]"), F.lit(False))
+    """Whether a round, angle or curly bracket stands in the text; square ones don't count."""
+    return F.coalesce(text.rlike(r"[()<>{}]"), F.lit(False))
 
 
 def scientific_term(term: Column) -> Column:

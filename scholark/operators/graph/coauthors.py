@@ -4,16 +4,19 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholark.constants import EDGE_PRUNE_RETRY
+from scholark.constants import EDGE_PRUNE, EDGE_PRUNE_RETRY, STRONG_COAUTHOR
 from scholark.kernels.splitting import components, graph_of, split
+from scholark.operators.graph.components import connected_components
 from scholark.operators.relational import year_window
 from scholark.session import cut_lineage
 
-#: An ego net beyond these is split into components only, and says so.
+#: An ego net beyond these can't be split by betweenness in time: it is put off to the second pass.
 MOST_NODES, MOST_EDGES = 400, 4000
+#: Authors of a paper that one task pairs with others.
+AUTHOR_BLOCK = 1000
 
 
 def min_publications(rows: DataFrame, least: int) -> DataFrame:
@@ -40,13 +43,35 @@ def author_paper_edges(rows: DataFrame, years: tuple[int | None, int | None] = (
 
 
 def project(edges: DataFrame) -> DataFrame:
-    """``src`` < ``dst``, ``weight`` = sum of 1 / (authors - 1) over shared papers. Papers should have bounded authors."""
-    sized = edges.join(edges.groupBy("PaperId").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "PaperId")
-    other = edges.select("PaperId", F.col("AuthorId").alias("dst"))
-    pairs = sized.withColumnRenamed("AuthorId", "src").join(other, "PaperId").where("src < dst")
+    """``src`` < ``dst``, ``weight`` = sum of 1 / (authors - 1) over shared papers.
+
+    A paper of more than AUTHOR_BLOCK authors is cut into blocks of authors that meet block by block, so no task pairs all
+    of them. Their pairs are the result, quadratic in the authors of a paper; ``max_authors`` is the way to leave such
+    papers out.
+    """
+    sizes = edges.groupBy("PaperId").agg(F.count(F.lit(1)).alias("d")).where("d > 1").withColumn("k", F.ceil(F.col("d") / AUTHOR_BLOCK).cast("int"))
+    sized = edges.join(sizes, "PaperId")
+    left = sized.select("PaperId", F.col("AuthorId").alias("src"), "d", F.pmod(F.xxhash64("AuthorId"), F.col("k")).cast("int").alias("b"))
+    right = sized.select("PaperId", F.col("AuthorId").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("b"))
+    pairs = left.join(right, ["PaperId", "b"]).where("src < dst")
     return pairs.groupBy("src", "dst").agg(F.sum(F.lit(1.0) / (F.col("d") - 1)).alias("weight"))
 
 
+def coauthors_of(edges: DataFrame, authors: DataFrame) -> DataFrame:
+    """``AuthorId``, ``coauthor``, ``weight``, ``ratio``: co-authors of the given authors (one column) only.
+
+    Linear in the rows of these authors' papers, whatever the number of authors of a paper; ``ratio`` is the weight by the
+    author's own publications.
+    """
+    asked = edges.join(authors.toDF("AuthorId").distinct(), "AuthorId", "left_semi")
+    own = asked.groupBy("AuthorId").agg(F.count(F.lit(1)).alias("n_pubs"))
+    known = edges.join(asked.select("PaperId").distinct(), "PaperId", "left_semi")
+    sized = known.groupBy("PaperId").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    pairs = asked.join(sized, "PaperId").join(known.withColumnRenamed("AuthorId", "coauthor"), "PaperId").where("AuthorId <> coauthor")
+    weights = pairs.groupBy("AuthorId", "coauthor").agg(F.sum(F.lit(1.0) / (F.col("d") - 1)).alias("weight"))
+    return weights.join(own, "AuthorId").select("AuthorId", "coauthor", "weight", (F.col("weight") / F.col("n_pubs")).alias("ratio"))
+
+
 def publications(edges: DataFrame) -> DataFrame:
     """Vertices: ``AuthorId``, ``n_pubs``; authors without co-authors are vertices too."""
     return edges.groupBy("AuthorId").agg(F.count(F.lit(1)).alias("n_pubs"))
@@ -62,11 +87,14 @@ def coauthor_ratios(graph: DataFrame, pubs: DataFrame) -> DataFrame:
     return directed.join(pubs, "AuthorId").select("AuthorId", "coauthor", (F.col("weight") / F.col("n_pubs")).alias("ratio"))
 
 
-def heavy_edges(graph: DataFrame, share: float) -> DataFrame:
-    """Edges whose weight (to 9 digits) exceeds the exact percentile ``share``."""
-    rounded = graph.withColumn("weight", F.round("weight", 9))
-    bound = rounded.agg(F.expr(f"percentile(weight, {share})").alias("b"))
-    return rounded.crossJoin(F.broadcast(bound)).where("weight > b").select("src", "dst", "weight")
+def heavy_edges(graph: DataFrame, min_weight: float = EDGE_PRUNE) -> DataFrame:
+    """Edges of more than ``min_weight`` (to 9 digits); those of ``min_weight`` or less go."""
+    return graph.withColumn("weight", F.round("weight", 9)).where(F.col("weight") > min_weight).select("src", "dst", "weight")
+
+
+def strong_coauthors(edges: DataFrame, least: float = STRONG_COAUTHOR) -> DataFrame:
+    """``AuthorId``, ``coauthor``: pairs whose weight is at least ``least`` of the author's own publications."""
+    return coauthor_ratios(project(edges), publications(edges)).where(F.round("ratio", 9) >= least).select("AuthorId", "coauthor")
 
 
 def ego_edges(graph: DataFrame) -> DataFrame:
@@ -90,46 +118,69 @@ def distances_from(graph: DataFrame, sources: DataFrame, most: int) -> DataFrame
     return known
 
 
+_PARTS = "node bigint, component int, neighbour bigint, n_nodes int, n_edges int, error string"
+
+
 def ego_partitions(graph: DataFrame, min_weight: float = 0.0) -> DataFrame:
     """``node``, ``component``, ``neighbour``, ``n_nodes``, ``n_edges``, ``error``: each ego net minus its ego, split.
 
     Edges of weight ``min_weight`` or less are removed, nodes stay. Nets of more than two nodes and one edge are split by
-    edge betweenness, others into components; so are nets too large for the kernel, with the reason in ``error``.
+    edge betweenness, others into components. Nets of over MOST_NODES or MOST_EDGES, which can't be split in time, are never
+    brought into one task: they get the components that the whole cluster finds for them, and ``too large`` as ``error``.
     """
     kept = graph.where(F.col("weight") > min_weight)
-    near = both_ways(kept).select(F.col("src").alias("ego"), F.col("dst").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("weight"))
-    inner = ego_edges(kept).select("ego", F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
-    return near.unionByName(inner).groupBy("ego").applyInPandas(_split_ego, "node bigint, component int, neighbour bigint, n_nodes int, n_edges int, error string")
+    nodes = both_ways(kept).select(F.col("src").alias("ego"), F.col("dst").alias("a"))
+    return _split_nets(nodes, ego_edges(kept))
+
+
+def _split_nets(nodes: DataFrame, inner: DataFrame) -> DataFrame:
+    inner = cut_lineage(inner)
+    n_edges = inner.groupBy("ego").agg(F.count(F.lit(1)).cast("int").alias("n_edges"))
+    sizes = cut_lineage(nodes.groupBy("ego").agg(F.count(F.lit(1)).cast("int").alias("n_nodes")).join(n_edges, "ego", "left").na.fill(0, ["n_edges"]))
+    large = sizes.where((F.col("n_nodes") > MOST_NODES) | (F.col("n_edges") > MOST_EDGES))
+    alone = nodes.select("ego", "a", F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("weight"))
+    rows = alone.unionByName(inner.select("ego", F.col("src").alias("a"), F.col("dst").alias("b"), "weight"))
+    split_nets = rows.join(large.select("ego"), "ego", "left_anti").groupBy("ego").applyInPandas(_split_ego, _PARTS)
+    if not large.head(1):
+        return split_nets
+    name = lambda c: F.concat_ws(":", F.col("ego").cast("string"), F.lpad(F.col(c).cast("string"), 20, "0"))
+    edges = inner.join(large.select("ego"), "ego", "left_semi").select(name("src").alias("src"), name("dst").alias("dst"))
+    members = nodes.join(large, "ego").withColumn("id", name("a")).join(connected_components(edges), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    place = F.dense_rank().over(Window.partitionBy("ego").orderBy("c")) - 1
+    whole = members.select(F.col("ego").alias("node"), place.cast("int").alias("component"), F.col("a").alias("neighbour"), "n_nodes", "n_edges", F.lit("too large").alias("error"))
+    return split_nets.unionByName(whole)
 
 
 def _split_ego(rows: pd.DataFrame) -> pd.DataFrame:
     linked = rows[rows["b"].notna()]
     nodes = rows.loc[rows["b"].isna(), "a"].tolist()
     graph = graph_of(nodes, zip(linked["a"].astype(int), linked["b"].astype(int), linked["weight"]))
-    error = None
-    if len(nodes) > MOST_NODES or len(linked) > MOST_EDGES:
-        parts, error = components(graph), "too large"
-    elif len(nodes) > 2 and len(linked) > 1:
-        parts, _ = split(graph)
-    else:
-        parts = components(graph)
+    parts = split(graph)[0] if len(nodes) > 2 and len(linked) > 1 else components(graph)
     ego = int(rows["ego"].iloc[0])
-    return pd.DataFrame([(ego, i, n, len(nodes), len(linked), error) for i, part in enumerate(parts) for n in part], columns=["node", "component", "neighbour", "n_nodes", "n_edges", "error"])
+    return pd.DataFrame([(ego, i, n, len(nodes), len(linked), None) for i, part in enumerate(parts) for n in part], columns=["node", "component", "neighbour", "n_nodes", "n_edges", "error"])
 
 
 def redo_too_large(graph: DataFrame, partitions: DataFrame, min_weight: float = EDGE_PRUNE_RETRY) -> DataFrame:
     """``partitions`` with the nets that were too large split again after stronger pruning, isolated neighbours dropped."""
-    again = partitions.where("error is not null").select("node").distinct()
-    pruned = graph.where(F.col("weight") > min_weight)
-    inner = ego_edges(pruned).join(again.withColumnRenamed("node", "ego"), "ego", "left_semi")
-    ends = inner.select("ego", F.explode(F.array("src", "dst")).alias("a")).distinct().select("ego", "a", F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("weight"))
-    redone = ends.unionByName(inner.select("ego", F.col("src").alias("a"), F.col("dst").alias("b"), "weight")).groupBy("ego").applyInPandas(_split_ego, partitions.schema)
-    return partitions.where("error is null").unionByName(redone)
+    again = partitions.where("error is not null").select(F.col("node").alias("ego")).distinct()
+    inner = ego_edges(graph.where(F.col("weight") > min_weight)).join(again, "ego", "left_semi")
+    ends = inner.select("ego", F.explode(F.array("src", "dst")).alias("a")).distinct()
+    return partitions.where("error is null").unionByName(_split_nets(ends, inner))
 
 
 def split_egos(graph: DataFrame) -> DataFrame:
-    """``ego_partitions`` with its second pass for nets too large; those too large even then keep their ``error``."""
-    return cut_lineage(redo_too_large(graph, cut_lineage(ego_partitions(graph))))
+    """``ego_partitions`` with its second pass for nets too large for the first.
+
+    What the pass with stronger pruning can't split either, or leaves without a neighbour, is filled with the components
+    of the unpruned net (``fill_missing``), and keeps its ``error``.
+    """
+    first = cut_lineage(ego_partitions(graph))
+    return cut_lineage(fill_missing(redo_too_large(graph, first).where("error is null"), first))
+
+
+def fill_missing(partitions: DataFrame, whole: DataFrame) -> DataFrame:
+    """``partitions`` and, for nodes of ``whole`` that they lack, the rows of ``whole``: its components."""
+    return partitions.unionByName(whole.join(partitions.select("node").distinct(), "node", "left_anti"))
 
 
 def persona_graph(graph: DataFrame, partitions: DataFrame) -> DataFrame:
@@ -162,4 +213,4 @@ def partition_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     return one_way(a, b).withColumnRenamed("d", "x").crossJoin(one_way(b, a)).select(((F.col("x") + F.col("d")) / 2).alias("distance"))
 
 
-__all__ = ["author_paper_edges", "both_ways", "coauthor_ratios", "distances_from", "ego_edges", "ego_partitions", "heavy_edges", "max_authors", "min_publications", "overlapping_memberships", "partition_distance", "persona_graph", "project", "publications", "redo_too_large", "split_egos"]
+__all__ = ["author_paper_edges", "both_ways", "coauthor_ratios", "coauthors_of", "distances_from", "ego_edges", "ego_partitions", "fill_missing", "heavy_edges", "max_authors", "min_publications", "overlapping_memberships", "partition_distance", "persona_graph", "project", "publications", "redo_too_large", "split_egos", "strong_coauthors"]

@@ -92,10 +92,16 @@ def clean_list(terms: DataFrame, key: str) -> DataFrame:
 def nearest_terms(focal: DataFrame, candidates: DataFrame, keys: list[str], n: int) -> DataFrame:
     """``keys``, ``term_id``, ``distance``, ``rank``: candidates by their least cosine distance to any focal term of the group.
 
-    The focal terms of a group are a ranked list, at most MOST_TERMS long.
+    With keys the two sides meet by an ordinary join. Without, the focal terms are the stated query set: they are cut into
+    blocks of MOST_TERMS, and every candidate meets the blocks one by one.
     """
     asked = focal.select(*keys, F.col("vector").alias("__f"))
-    pairs = candidates.join(F.broadcast(asked), keys) if keys else candidates.crossJoin(F.broadcast(asked))
+    if keys:
+        pairs = candidates.join(asked, keys)
+    else:
+        blocks = max(1, -(-asked.count() // MOST_TERMS))
+        cut = asked.withColumn("__b", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
+        pairs = candidates.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cut, "__b")
     least = pairs.groupBy(*keys, "term_id").agg(F.min(cosine_distance(F.col("vector"), F.col("__f"))).alias("distance"))
     window = Window.partitionBy(*keys).orderBy(F.round("distance", 9), "term_id")
     return least.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)

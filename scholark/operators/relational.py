@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholark.constants import DOCTYPE_ORDER
+from scholark.constants import DOCTYPE_ORDER, ENOUGH_DATA
 from scholark.functions.text import title_key
 
 
@@ -102,9 +102,49 @@ def two_stage_top(df: DataFrame, near: str, far: str | None, pool: int, key: str
     return first.withColumn("rank", F.row_number().over(window.orderBy(*last)))
 
 
+def hash_order(key: str, seed: int) -> Column:
+    """An order of keys that only key and seed decide."""
+    return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """A sampling operator: ``n`` rows in an order that only key and seed decide."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(hash_order(key, seed), key).limit(n)
+
+
+def not_empty(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is neither null nor an empty string."""
+    return df.where(F.col(column) != "")
+
+
+def contains_all(df: DataFrame, column: str, parts: Sequence[str]) -> DataFrame:
+    """Rows whose ``column`` holds every one of ``parts``; nulls go."""
+    for part in parts:
+        df = df.where(F.col(column).isNotNull() & F.contains(column, F.lit(part)))
+    return df
+
+
+def enough_data(df: DataFrame, columns: Sequence[str], least: int = ENOUGH_DATA) -> DataFrame:
+    """Rows whose arrays ``columns`` all have more than ``least`` elements; a null array has none."""
+    for column in columns:
+        df = df.where(F.coalesce(F.size(column), F.lit(0)) > least)
+    return df
+
+
+def high_pass(df: DataFrame, papers: str = "num_papers_overall", citations: str | None = None, more_than: int = 5, below: int = 2000) -> DataFrame:
+    """Rows of subjects with more than ``more_than`` papers and, where ``citations`` is given, fewer than ``below`` citations."""
+    df = df.where(F.col(papers) > more_than)
+    return df if citations is None else df.where(F.col(citations) < below)
+
+
+def with_group_max(df: DataFrame, keys: Sequence[str], column: str, alias: str) -> DataFrame:
+    """``df`` with the largest ``column`` of its group, by an aggregate and a join, so a large group is no task's burden."""
+    return df.join(df.groupBy(*keys).agg(F.max(column).alias(alias)), list(keys))
+
+
+def first_rows(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
+    """Each key once, by its first row in ``order``, and of these the first ``n`` in that order."""
+    return keep_first(df, [key], order).orderBy(*order).limit(n)
 
 
 def cascade_terms(terms: DataFrame, keys: Sequence[str], term: str, category: str, place: str, priority: Sequence[str]) -> DataFrame:

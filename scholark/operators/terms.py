@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholark.constants import IN_CONTEXT, IN_TERM, LABELS, METHOD_PATTERNS, METHOD_WORDS, SOFTMAX_LEAST, TASK_WORDS, TIE_WORDS
+from scholark.constants import IN_CONTEXT, IN_TERM, LABELS, METHOD_PATTERNS, METHOD_WORDS, SOFTMAX_LEAST, TASK_WORDS, TERMS_LEAST, TIE_WORDS
 from scholark.functions.text import expand_abbreviations, has_bracket, mostly_upper, span_text
 from scholark.operators.relational import dense_ids, keep_first
 
@@ -112,6 +112,14 @@ def term_relevance(terms: DataFrame, weights: DataFrame, keys: list[str]) -> Dat
     return weights.join(terms, "PaperId").dropna(subset=keys).groupBy(*keys).agg(F.sum("relevance_score").alias("relevance"), F.count("relevance_score").alias("freq"))
 
 
+def insufficient_terms(terms: DataFrame, authorship: DataFrame, least: int = TERMS_LEAST, labels: tuple[str, ...] = ("Task", "Method", "Material")) -> DataFrame:
+    """``AuthorId`` of authors with under ``least`` different (paper, term) pairs of one of ``labels``; a label of which an
+    author has none at all doesn't count against it."""
+    rows = terms.where(F.col("label").isin(*labels)).select("PaperId", "term_id", "label").join(authorship.select("PaperId", "AuthorId"), "PaperId")
+    counts = rows.distinct().groupBy("AuthorId", "label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") < least).select("AuthorId").distinct()
+
+
 def entity_rows(docs: DataFrame) -> DataFrame:
     """``s2_id``, ``label``, ``term``, ``softmax_score`` from nested predictions (``doc_key``, ``sentences``, ``predicted_ner``
     whose items are (start, end, label, raw, softmax) as strings; offsets count over the document)."""
@@ -146,3 +154,8 @@ def tokenise(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = F.split(F.col(text), r"(?<=[.!?])\s+")
     tokens = F.transform(parts, lambda s: F.filter(F.regexp_extract_all(s, F.lit(r"([\p{L}\p{N}]+|[^\s\p{L}\p{N}])"), F.lit(1)), lambda t: F.length(t) > 0))
     return docs.select(F.col(key), F.filter(tokens, lambda s: F.size(s) > 0).alias("sentences")).where(F.size("sentences") > 0)
+
+
+def concat_terms(rows: DataFrame, key: str, term: str) -> DataFrame:
+    """``key``, ``terms``: all terms of a key (with repeats) in order, joined by spaces: what a text vectoriser would read."""
+    return rows.where(F.col(term).isNotNull()).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(term)), lambda t: t.cast("string")), " ").alias("terms"))

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholark.constants import LABELS
 from scholark.functions.text import slug
 from scholark.plans import standin as st
 
-CARD_PAPERS = 5
+CARD_PAPERS, CARD_TOPICS = 5, 15
 
 
 def paper_structs(papers: DataFrame, authorship: DataFrame) -> DataFrame:
@@ -37,6 +38,43 @@ def with_lists(cards: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
     return cards
 
 
+def first_items(rows: DataFrame, key: str, item: str, order: Sequence[Column], n: int | None = None) -> DataFrame:
+    """``collection_id``, ``items``: each key's items in order, the first ``n`` of them if given."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    placed = rows.withColumn("__r", place)
+    kept = placed if n is None else placed.where(F.col("__r") <= n)
+    return kept.groupBy(F.col(key).alias("collection_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", item))), lambda x: x[item]).alias("items"))
+
+
+def author_cards(cards: DataFrame, terms: DataFrame, topics: DataFrame, affiliations: DataFrame, n_topics: int | None = CARD_TOPICS) -> DataFrame:
+    """Cards with ``topics`` (the ``n_topics`` of highest ``score``), ``affiliations`` (by frequency) and an array of terms a label.
+
+    ``terms`` has ``collection_id``, ``label``, ``term_display``, ``rank``; ``topics`` ``collection_id``, ``topic``, ``score``;
+    ``affiliations`` ``collection_id``, ``affiliation``, ``n``. A card without any has empty arrays.
+    """
+    lists = {
+        "topics": first_items(topics, "collection_id", "topic", [F.desc("score"), F.col("topic")], n_topics),
+        "affiliations": first_items(affiliations, "collection_id", "affiliation", [F.desc("n"), F.col("affiliation")]),
+    }
+    for label in LABELS[:3]:
+        lists[label] = first_items(terms.where(F.col("label") == label), "collection_id", "term_display", [F.col("rank"), F.col("term_display")])
+    joined = with_lists(cards, lists)
+    return joined.withColumns({name: F.coalesce(name, F.array().cast("array<string>")) for name in lists})
+
+
+def compare_cards(strategies: DataFrame) -> DataFrame:
+    """``collection_id``, ``strategies``: a map from strategy to its terms in order; ``strategies`` has ``collection_id``, ``strategy``,
+    ``rank``, ``term_display``."""
+    lists = strategies.groupBy("collection_id", "strategy").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term_display"))), lambda x: x["term_display"]).alias("terms"))
+    return lists.groupBy("collection_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", "terms")))).alias("strategies"))
+
+
+def rank_sheet(strategies: DataFrame, names: Sequence[str], blind: bool = False) -> DataFrame:
+    """A sheet: ``collection_id``, ``rank`` and a column a strategy; ``blind`` ones are named by letters in the order given."""
+    wide = strategies.groupBy("collection_id", "rank").pivot("strategy", list(names)).agg(F.first("term_display"))
+    return wide.toDF("collection_id", "rank", *[chr(65 + i) for i in range(len(names))]) if blind else wide
+
+
 def similar_cards(cards: DataFrame, distances: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Cards of recommended authors with their distance from each focal collection and the terms they share with it."""
     joined = distances.select("focal_id", F.col("AuthorId").alias("collection_id"), "condition", "distance").join(cards, "collection_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from scholark.functions import scores, text
 from scholark.operators import relational as rel
 from scholark.operators import terms as tm
 from scholark.operators import tfidf as ti
+from scholark.plans import domain as dm
 from scholark.plans import standin as st
 from scholark.sources.tables import table
 
@@ -91,7 +94,9 @@ def abbrev_expand(spark, d):
 
 
 def mostly_upper_terms(spark, d):
-    return table(spark, d, "df_ner").select("term").distinct().where(text.mostly_upper(F.col("term")))
+    """Typed names and raw terms with a token of capitals."""
+    terms = table(spark, d, "df_ner").select("term").union(table(spark, d, "authors").select("DisplayName"))
+    return terms.distinct().where(text.mostly_upper(F.col("term")))
 
 
 def term_finalize(spark, d):
@@ -141,6 +146,10 @@ def fos_mass(spark, d):
     return sums.where("mass > 0")
 
 
+#: Last words that name no thing of their own in the part names, which stand for terms here.
+STANDIN_TAILS = ("widget", "gear")
+
+
 def _tfidf(strategy):
     def run(spark, d):
         rows = st.term_rows(spark, d).where("label = 'Method'").join(st.authorship(spark, d).select("PaperId", "AuthorId"), "PaperId").select("AuthorId", "PaperId", "term_id", "term_display")
@@ -156,20 +165,18 @@ def fos_tfidf_paper(spark, d):
     rows = rows.where("tf > 0")
     df = rows.groupBy("field").agg(F.count(F.lit(1)).alias("df"))
     n = rows.agg(F.countDistinct("PaperId").alias("n"))
-    return rows.join(F.broadcast(df), "field").crossJoin(F.broadcast(n)).select("PaperId", "field", F.round(scores.tfidf(F.col("tf"), F.col("df"), F.col("n")), 6).alias("tfidf"))
+    return rows.join(df, "field").crossJoin(F.broadcast(n)).select("PaperId", "field", F.round(scores.tfidf(F.col("tf"), F.col("df"), F.col("n")), 6).alias("tfidf"))
 
 
 def insufficient_terms(spark, d):
     """Authors with under ten different terms of a label in one of the three labels that count; a label with none doesn't."""
-    rows = st.term_rows(spark, d).join(st.authorship(spark, d), "PaperId").where(F.col("label").isin("Task", "Method", "Material"))
-    counts = rows.select("AuthorId", "label", "PaperId", "term_id").distinct().groupBy("AuthorId", "label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where("n < 150").select("AuthorId").distinct()
+    return tm.insufficient_terms(dm.term_rows(spark, d), dm.authorship(spark, d))
 
 
 def venue_overlap(spark, d):
     """Share of venues that the authors of nation 0 and each other nation's have in common, three rows or more."""
     home = table(spark, d, "supplier").select(F.col("s_suppkey").alias("AuthorId"), F.col("s_nationkey").alias("nation"))
-    rows = st.authorship(spark, d).join(F.broadcast(home), "AuthorId").join(st.papers(spark, d), "PaperId")
+    rows = st.authorship(spark, d).join(home, "AuthorId").join(st.papers(spark, d), "PaperId")
     venues = rows.groupBy("nation").agg(F.collect_set("VenueId").alias("venues"), F.count("VenueId").alias("n"))
     focal = venues.orderBy("nation").limit(1)
     return venues.where("n >= 3").crossJoin(F.broadcast(focal.select(F.col("nation").alias("focal"), F.col("venues").alias("fv")))).where("nation <> focal").select("nation", F.round(scores.overlap_ratio(F.col("venues"), F.col("fv")), 6).alias("ratio"))
@@ -193,16 +200,16 @@ def affiliations_by_frequency(spark, d):
 
 
 def authors_per_paper_ordered(spark, d):
-    """Authors of each paper in order, the hot papers' long lists combined from sorted pieces."""
+    """Authors of each paper in order, as one list a paper: a list is one row, so one task's, however long."""
     rows = st.authorship(spark, d).groupBy("PaperId").agg(F.array_sort(F.collect_list(F.struct("seq", "AuthorId"))).alias("a"))
     return rows.select("PaperId", F.array_join(F.transform("a", lambda x: x["AuthorId"].cast("string")), ",").alias("author_ids"))
 
 
 def persona_letters(spark, d):
-    """Letters by best rank: the venues of each author as its personas, the first 26 of them named."""
-    rows = st.authorship(spark, d).join(st.papers(spark, d), "PaperId").where("VenueId < 20").groupBy("AuthorId", "VenueId").agg(F.min("Rank").alias("best"))
+    """Letters by best rank: the venues of each author as its personas; after Z comes AA."""
+    rows = st.authorship(spark, d).join(st.papers(spark, d), "PaperId").groupBy("AuthorId", "VenueId").agg(F.min("Rank").alias("best"))
     place = F.row_number().over(Window.partitionBy("AuthorId").orderBy("best", "VenueId"))
-    return rows.withColumn("p", place).where("p <= 26").select("AuthorId", "VenueId", F.concat(F.col("AuthorId").cast("string"), F.lit("-"), F.chr(F.col("p") + 64)).alias("persona_id"))
+    return rows.withColumn("p", place).select("AuthorId", "VenueId", F.concat(F.col("AuthorId").cast("string"), F.lit("-"), text.letters(F.col("p"))).alias("persona_id"))
 
 
 QUERIES = {
@@ -213,7 +220,7 @@ QUERIES = {
         term_finalize, term_upsert, dense_term_ids, term_classify_priority, term_classify_weighted, term_relevance, topics_by_score, fos_mass,
         fos_tfidf_paper, insufficient_terms, venue_overlap, jaccard_pairs, js_divergence, affiliations_by_frequency, authors_per_paper_ordered, persona_letters,
     )
-} | {f"author_term_tfidf_s0{i}": _tfidf(s) for i, s in enumerate((ti.strategy_occurrences, ti.strategy_papers, ti.strategy_cutoff, ti.strategy_merged, ti.strategy_cutoff_merged), 1)}
+} | {f"author_term_tfidf_s0{i}": _tfidf(s) for i, s in enumerate((ti.strategy_occurrences, ti.strategy_papers, ti.strategy_cutoff, partial(ti.strategy_merged, tails=STANDIN_TAILS), partial(ti.strategy_cutoff_merged, tails=STANDIN_TAILS)), 1)}
 
 _P, _A, _T, _R, _POS, _S = st.SQL_PAPERS, st.SQL_AUTHORSHIP, st.SQL_TERMS, st.SQL_RANKED, st.SQL_POSITIONS, st.SQL_SCORED
 _CLEAN = "lower(trim(regexp_replace(regexp_replace(regexp_replace(term, '\\s\\(.*?\\)', '', 'g'), '\\s\\(.*', '', 'g'), ' +', ' ', 'g')))"
@@ -224,6 +231,7 @@ _SCORE = """, n AS (SELECT count(DISTINCT AuthorId) AS n FROM rows), dfs AS (SEL
 _MERGE = """, merged AS (SELECT r.AuthorId, r.PaperId, coalesce(m.to_id, r.term_id) AS term_id FROM {rows} r LEFT JOIN
     (SELECT a.term_id, min(b.term_id) AS to_id FROM (SELECT DISTINCT term_id, term_display FROM rows) a JOIN (SELECT DISTINCT term_id, term_display FROM rows) b
      ON regexp_replace(regexp_replace(a.term_display, ' widget$', ''), ' gear$', '') = b.term_display GROUP BY 1) m ON r.term_id = m.term_id)"""
+_LETTERS = " || ".join(f"CASE WHEN p > {sum(26**k for k in range(1, i + 1))} THEN chr(CAST(65 + ((p - 1 - {sum(26**k for k in range(1, i + 1))}) // {26**i}) % 26 AS INT)) ELSE '' END" for i in (3, 2, 1, 0))
 _DIST, _CUT = ", d AS (SELECT DISTINCT AuthorId, PaperId, term_id FROM rows)", ", c AS (SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY term_id) >= 2)"
 
 ORACLES = {
@@ -249,7 +257,7 @@ ORACLES = {
         one AS (SELECT s2_id, abbrv, min(long_form) AS long_form FROM p WHERE long_form <> '' GROUP BY 1, 2), j AS (SELECT r.s2_id, r.term, one.abbrv, one.long_form FROM r JOIN one ON r.s2_id = one.s2_id),
         o AS (SELECT s2_id, term, list({'a': abbrv, 'l': long_form} ORDER BY abbrv) AS ps FROM j GROUP BY ALL)
         SELECT s2_id, term, list_reduce(list_prepend({'a': '', 'l': term}, ps), lambda acc, p: {'a': '', 'l': CASE WHEN contains(term, p.a) THEN regexp_replace(acc.l, '\\b' || p.a || '\\b', p.l, 'g') ELSE acc.l END}).l AS expanded FROM o""",
-    "mostly_upper_terms": "SELECT DISTINCT term FROM df_ner WHERE len(list_filter(regexp_split_to_array(term, '\\s+'), lambda t: length(t) > 0 AND length(regexp_replace(t, '[^A-Z]', '', 'g')) / length(t) >= 0.75)) > 0",
+    "mostly_upper_terms": "SELECT DISTINCT term FROM (SELECT term FROM df_ner UNION SELECT DisplayName FROM authors) WHERE len(list_filter(regexp_split_to_array(term, '\\s+'), lambda t: length(t) > 0 AND length(regexp_replace(t, '[^A-Z]', '', 'g')) / length(t) >= 0.75)) > 0",
     "term_finalize": """WITH k AS (SELECT s2_id, label, term_normalized, term_display FROM df_ner WHERE label IN ('Task', 'Method', 'Material', 'Metric') AND softmax_score >= 0.9 AND s2_id IS NOT NULL AND term_normalized IS NOT NULL AND term_display IS NOT NULL),
         one AS (SELECT term_normalized, min(term_display) AS term_display FROM k GROUP BY 1), ids AS (SELECT term_normalized, dense_rank() OVER (ORDER BY term_normalized) - 1 AS term_id FROM (SELECT DISTINCT term_normalized FROM k))
         SELECT s2_id, label, k.term_normalized, one.term_display, count(*) AS freq, term_id FROM k JOIN one ON k.term_normalized = one.term_normalized JOIN ids ON k.term_normalized = ids.term_normalized GROUP BY ALL""",
@@ -263,13 +271,13 @@ ORACLES = {
     "topics_by_score": "SELECT l_suppkey AS AuthorId, p_brand AS topic, round(sum(l_discount), 6) AS score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 4 <> 0 GROUP BY ALL",
     "fos_mass": "SELECT p_brand AS field, round(sum(l_discount), 6) AS mass FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING round(sum(l_discount), 6) > 0",
     "fos_tfidf_paper": "WITH r AS (SELECT l_orderkey AS PaperId, p_brand AS field, sum(l_discount) AS tf FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING sum(l_discount) > 0), d AS (SELECT field, count(*) AS df FROM r GROUP BY 1), n AS (SELECT count(DISTINCT PaperId) AS n FROM r) SELECT PaperId, r.field, round(ln(1 + tf) * ln(n / df), 6) AS tfidf FROM r JOIN d ON r.field = d.field, n",
-    "insufficient_terms": f"WITH {_A}, {_T} SELECT DISTINCT AuthorId FROM (SELECT AuthorId, label, count(DISTINCT (PaperId, term_id)) AS n FROM terms JOIN paa USING (PaperId) WHERE label IN ('Task', 'Method', 'Material') GROUP BY ALL) WHERE n < 150",
+    "insufficient_terms": f"WITH {dm.SQL_PAPERS}, {dm.SQL_AUTHORSHIP}, {dm.SQL_TERMS} SELECT DISTINCT AuthorId FROM (SELECT AuthorId, label, count(DISTINCT (PaperId, term_id)) AS n FROM terms JOIN paa USING (PaperId) WHERE label IN ('Task', 'Method', 'Material') GROUP BY ALL) WHERE n < 10",
     "venue_overlap": f"WITH {_P}, {_A}, r AS (SELECT s_nationkey AS nation, VenueId FROM paa JOIN supplier ON AuthorId = s_suppkey JOIN papers USING (PaperId)), v AS (SELECT nation, list(DISTINCT VenueId) AS vs, count(*) AS n FROM r GROUP BY 1), f AS (SELECT * FROM v ORDER BY nation LIMIT 1) SELECT v.nation, round(len(list_intersect(v.vs, f.vs)) / len(list_distinct(list_concat(v.vs, f.vs))), 6) AS ratio FROM v, f WHERE v.n >= 3 AND v.nation <> f.nation",
     "jaccard_pairs": f"WITH {_T}, s AS (SELECT label, list(DISTINCT term_display) AS ts FROM terms GROUP BY 1) SELECT a.label AS label_1, b.label AS label_2, round(len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts))), 6) AS jaccard FROM s a JOIN s b ON a.label < b.label",
     "js_divergence": f"WITH {_T}, c AS (SELECT label, term_display, count(*) AS n FROM terms GROUP BY ALL), p AS (SELECT term_display, n / sum(n) OVER () AS v FROM c WHERE label = 'Task'), q AS (SELECT term_display, n / sum(n) OVER () AS v FROM c WHERE label = 'Method'), b AS (SELECT coalesce(p.v, 0) AS x, coalesce(q.v, 0) AS y FROM p FULL JOIN q ON p.term_display = q.term_display) SELECT round(sum(CASE WHEN x > 0 THEN x * ln(2 * x / (x + y)) ELSE 0 END) / 2 + sum(CASE WHEN y > 0 THEN y * ln(2 * y / (x + y)) ELSE 0 END) / 2, 6) AS divergence FROM b",
     "affiliations_by_frequency": "SELECT p.AffiliationId, n, DisplayName FROM (SELECT AffiliationId, count(*) AS n FROM paper_author_affiliations WHERE AffiliationId IS NOT NULL GROUP BY 1) p JOIN (SELECT DISTINCT AffiliationId, DisplayName FROM affiliations) a ON p.AffiliationId = a.AffiliationId",
     "authors_per_paper_ordered": f"WITH {_A} SELECT PaperId, string_agg(CAST(AuthorId AS VARCHAR), ',' ORDER BY seq, AuthorId) AS author_ids FROM paa GROUP BY 1",
-    "persona_letters": f"WITH {_P}, {_A}, r AS (SELECT AuthorId, VenueId, min(Rnk) AS best FROM paa JOIN papers USING (PaperId) WHERE VenueId < 20 GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY AuthorId ORDER BY best, VenueId) AS p FROM r) SELECT AuthorId, VenueId, AuthorId || '-' || chr(CAST(64 + p AS INT)) AS persona_id FROM p WHERE p <= 26",
+    "persona_letters": f"WITH {_P}, {_A}, r AS (SELECT AuthorId, VenueId, min(Rnk) AS best FROM paa JOIN papers USING (PaperId) GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY AuthorId ORDER BY best, VenueId) AS p FROM r) SELECT AuthorId, VenueId, AuthorId || '-' || {_LETTERS} AS persona_id FROM p",
     "author_term_tfidf_s01": _TF + ", tf AS (SELECT AuthorId, term_id, count(*) AS tf FROM rows GROUP BY ALL)" + _SCORE,
     "author_term_tfidf_s02": _TF + _DIST + ", tf AS (SELECT AuthorId, term_id, count(*) AS tf FROM d GROUP BY ALL)" + _SCORE,
     "author_term_tfidf_s03": _TF + _DIST + _CUT + ", tf AS (SELECT AuthorId, term_id, count(*) AS tf FROM c GROUP BY ALL)" + _SCORE.replace("FROM rows)", "FROM c)"),

@@ -16,8 +16,8 @@ from scholark.kernels.ward import ward_labels
 from scholark.operators.relational import keep_first
 from scholark.session import cut_lineage
 
-#: Papers of one author beyond which personas are not clustered (the kernel's memory is quadratic).
-MOST_PERSONA_PAPERS = 2000
+#: Focal vectors that are sent to all workers at once.
+FOCAL_BLOCK = 10_000
 
 #: The two distances of each condition: the near one picks the pool, the far one reorders it.
 CONDITIONS = {
@@ -67,13 +67,17 @@ def focal_paper_vectors(collections: DataFrame, vectors: DataFrame) -> DataFrame
 def distances(focal: DataFrame, candidates: DataFrame, alias: str) -> DataFrame:
     """``collection_id``, ``AuthorId``, ``alias``: cosine distance of every candidate from each focal vector.
 
-    The focal vectors are the stated query set; more than 10000 of them are refused rather than sent to all workers.
+    The focal vectors are the stated query set. Up to FOCAL_BLOCK of them go to all workers; more are cut into blocks of so
+    many, and every candidate meets the blocks one by one.
     """
-    focal = cut_lineage(focal.select("collection_id", "embedding"))
-    if focal.count() > 10_000:
-        raise ValueError("more than 10000 focal vectors; run them in blocks")
-    asked = F.broadcast(focal.select("collection_id", F.col("embedding").alias("__f")))
-    return candidates.crossJoin(asked).select("collection_id", "AuthorId", cosine_distance(F.col("embedding"), F.col("__f")).alias(alias))
+    focal = cut_lineage(focal.select("collection_id", F.col("embedding").alias("__f")))
+    blocks = -(-focal.count() // FOCAL_BLOCK)
+    if blocks <= 1:
+        met = candidates.crossJoin(F.broadcast(focal))
+    else:
+        cut = focal.withColumn("__b", F.pmod(F.xxhash64("collection_id"), F.lit(blocks)).cast("int"))
+        met = candidates.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cut, "__b")
+    return met.select("collection_id", "AuthorId", cosine_distance(F.col("embedding"), F.col("__f")).alias(alias))
 
 
 def candidate_table(parts: Sequence[DataFrame], paper_counts: DataFrame, vertices: DataFrame | None = None, excluded: DataFrame | None = None, least: int | None = CANDIDATE_PAPERS) -> DataFrame:
@@ -97,7 +101,7 @@ def select_similar(table: DataFrame, condition: str, pool: int | str = RANK_POOL
     order = [F.col(near).asc_nulls_last(), F.col("AuthorId")]
     if pool == "half":
         sizes = table.groupBy("collection_id").agg(F.ceil(F.count(F.lit(1)) / 2).alias("__pool"))
-        table, bound = table.join(F.broadcast(sizes), "collection_id"), F.col("__pool")
+        table, bound = table.join(sizes, "collection_id"), F.col("__pool")
     else:
         bound = F.lit(pool)
     window = Window.partitionBy("collection_id")
@@ -125,12 +129,13 @@ def ward_personas(papers: DataFrame, threshold: float = WARD_THRESHOLD, least: i
 
     ``papers`` has ``AuthorId``, ``PaperId``, ``Rank`` and ``vector``. Clusters under ``least`` papers are left out; the
     rest are lettered by their best rank. With ``keep_all`` an author with too few papers, or none in a large enough
-    cluster, becomes one persona of all papers. Authors over MOST_PERSONA_PAPERS papers are one persona, not clustered.
+    cluster, becomes one persona of all papers. The kernel holds an author's vectors and no matrix of their distances, so
+    authors of very many papers are clustered like the others.
     """
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("PaperId", ignore_index=True)
-        if len(rows) > MOST_PERSONA_PAPERS or (keep_all and len(rows) < least):
+        if keep_all and len(rows) < least:
             label = np.zeros(len(rows), dtype=int)
         else:
             label = ward_labels(np.stack(rows["vector"].to_list()), threshold)

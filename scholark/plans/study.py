@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholark.functions.scores import overlap_ratio
 from scholark.sources.tables import table
 
 FEEDBACK = "array<struct<cardId:string,feedback:array<struct<feedbackItemType:string,feedbackItemId:string,other:string,checked:array<string>,flag:boolean>>>>"
@@ -68,6 +69,72 @@ def preference_delta(rows: DataFrame, keys: Sequence[str], condition: str, value
     return means.select(*keys, (F.col("b") - F.col("a")).alias("delta"))
 
 
+#: Item types of a card; the last three are hidden with its terms. What of a type is on show: a bound, but for papers.
+ITEM_TYPES, SHOWN, SHOWN_OF_CARD = ("card", "paper", "topic", "Task", "Method", "Material"), 10, 5
+
+
+def result_rows(cards: DataFrame, checked: DataFrame, observed_papers: DataFrame) -> DataFrame:
+    """One row per card and item type on show: ``cards`` with ``item_type``, ``num_checked``, ``num_observed``.
+
+    ``cards`` has ``user_id``, ``card_id``, ``hide_terms``; ``checked`` a row per checked thing (``user_id``, ``card_id``,
+    ``item_type``); ``observed_papers`` the papers on show (``user_id``, ``card_id``, ``n_observed``; none is 0).
+    """
+    counts = checked.groupBy("user_id", "card_id", "item_type").agg(F.count(F.lit(1)).alias("num_checked"))
+    types = F.when(F.col("hide_terms"), F.array(*[F.lit(t) for t in ITEM_TYPES[:3]])).otherwise(F.array(*[F.lit(t) for t in ITEM_TYPES]))
+    rows = cards.withColumn("item_type", F.explode(types)).join(counts, ["user_id", "card_id", "item_type"], "left").join(observed_papers, ["user_id", "card_id"], "left")
+    shown = F.when(F.col("item_type") == "paper", F.coalesce("n_observed", F.lit(0))).when(F.col("item_type") == "card", F.lit(SHOWN_OF_CARD)).otherwise(F.lit(SHOWN))
+    return rows.withColumn("num_checked", F.coalesce("num_checked", F.lit(0))).withColumn("num_observed", shown.cast("bigint")).drop("n_observed")
+
+
+def overlap_features(cards: DataFrame, focal: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``cards`` with ``<name>_overlap``: Jaccard index of each array of a card with that of its focal (``user_id`` and the arrays)."""
+    renamed = focal.withColumnsRenamed({n: f"__{n}" for n in names})
+    joined = cards.join(renamed, "user_id", "left")
+    for n in names:
+        joined = joined.withColumn(f"{n}_overlap", overlap_ratio(F.col(n), F.col(f"__{n}"))).drop(f"__{n}")
+    return joined
+
+
+def mean_novelty(rows: DataFrame, subject: str, condition: str, value: str, far: Sequence[str], near: Sequence[str], without: Sequence[str] = ()) -> DataFrame:
+    """``subject``, ``novelty``: mean over item types (but those ``without``) of whether ``far`` conditions beat ``near`` ones; ties
+    and nothing else are left out, a side without rows counts as lost."""
+    kept = rows.where(~F.col("item_type").isin(list(without))) if without else rows
+    side = F.when(F.col(condition).isin(list(far)), "far").when(F.col(condition).isin(list(near)), "near")
+    wins = novelty_wins(kept.withColumn("__side", side), [subject, "item_type"], "__side", value, "far", "near")
+    return wins.where("win is not null").groupBy(subject).agg(F.avg("win").alias("novelty"))
+
+
+def post_hoc_duplicates(ranked: DataFrame, cards: DataFrame, n: int = 10) -> DataFrame:
+    """Cards that another condition would have shown among its ``n`` best: ``user_id``, ``condition``, ``card_id``.
+
+    ``ranked`` has ``user_id``, ``condition``, ``card_id``, ``rank`` of all candidates, ``cards`` (``user_id``, ``condition``, ``card_id``,
+    ``hide_terms``) those shown. A card is shared only where the condition that shows it shows its terms.
+    """
+    best = ranked.where(F.col("rank") <= n).select("user_id", "condition", "card_id").distinct()
+    missing = best.join(cards.select("user_id", "condition", "card_id").distinct(), ["user_id", "condition", "card_id"], "left_anti")
+    visible = cards.where(~F.col("hide_terms")).select("user_id", "card_id").distinct()
+    return missing.join(visible, ["user_id", "card_id"], "left_semi")
+
+
+#: Short names of conditions.
+SHORT_CONDITIONS = {"simTask": "sT", "simTask_distMethod": "sTdM", "simspecter": "ss", "simspecter_hideTerms": "ss"}
+
+
+def distance_measures(rows: DataFrame, condition: str, overlaps: Sequence[str]) -> DataFrame:
+    """``rows`` with overlaps turned into distances and ``condition_short``; unknown conditions keep their name."""
+    pairs = F.create_map(*[x for k, v in SHORT_CONDITIONS.items() for x in (F.lit(k), F.lit(v))])
+    turned = rows.withColumns({c: F.lit(1) - F.col(c) for c in overlaps})
+    return turned.withColumn("condition_short", F.coalesce(pairs[F.col(condition)], F.col(condition)))
+
+
+def raw_feedback(rows: DataFrame, text: str, fixes: dict[str, str]) -> DataFrame:
+    """``rows`` with literal text replacements in ``text``, applied in their order."""
+    fixed = F.col(text)
+    for old, new in fixes.items():
+        fixed = F.replace(fixed, F.lit(old), F.lit(new))
+    return rows.withColumn(text, fixed)
+
+
 def quantile_bins(rows: DataFrame, column: str, shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """``rows`` with ``bin`` (from 0): right-closed intervals between exact quantiles, the lowest value included."""
     edges = rows.agg(F.expr(f"percentile(`{column}`, array({', '.join(map(str, shares))}))").alias("__e"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholark.schema import DECLARED, PREDICTIONS, schema_of
+from scholark.schema import DECLARED, PREDICTIONS
 
 
 def _names(spark: SparkSession, directory: str) -> list[str]:
@@ -32,7 +32,7 @@ def parquet_path(spark: SparkSession, directory: str, table: str) -> str:
 
 def read_tsv(spark: SparkSession, path: str, table: str, declared: dict[str, str] = DECLARED) -> DataFrame:
     """A tab-separated dump of a declared table, without header; quotes are text."""
-    return spark.read.csv(path, sep="\t", schema=schema_of(table, declared), quote="", header=False)
+    return spark.read.csv(path, sep="\t", schema=declared[table], quote="", header=False)
 
 
 def convert_dump(spark: SparkSession, source: str, target: str, declared: dict[str, str] = DECLARED) -> list[str]:
@@ -48,9 +48,35 @@ def convert_dump(spark: SparkSession, source: str, target: str, declared: dict[s
     return converted
 
 
-def read_named_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """A CSV without header; ``columns`` is a DDL string."""
-    return spark.read.csv(path, schema=columns, header=False)
+def read_named_csv(spark: SparkSession, path: str, columns: str, sep: str = ",") -> DataFrame:
+    """A (compressed) CSV without header; ``columns`` is a DDL string."""
+    return spark.read.csv(path, schema=columns, header=False, sep=sep)
+
+
+def inverted_abstracts(rows: DataFrame, key: str = "PaperId", index: str = "IndexedAbstract") -> DataFrame:
+    """``key``, ``abstract`` of inverted indexes ``{IndexLength, InvertedIndex: {word: [places]}}``; unreadable ones go."""
+    kind = "IndexLength int, InvertedIndex map<string, array<int>>"
+    words = rows.select(key, F.from_json(index, kind).alias("x")).select(key, F.explode("x.InvertedIndex").alias("word", "places"))
+    placed = words.select(key, F.explode("places").alias("at"), "word")
+    return placed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("abstract"))
+
+
+def keyed_json(spark: SparkSession, pattern: str, ids: DataFrame, key: str = "id") -> DataFrame:
+    """``key``, ``value``: the JSON text of each id from files named ``{id}.json`` or ``{name}_{id}.json``, the first in order
+    of the file's name where several match."""
+    files = spark.read.text(pattern, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(?:^|[/_])([^/_]+)\.json$", 1).alias("__id"), F.input_file_name().alias("__f"), "value")
+    first = files.groupBy("__id").agg(F.min_by("value", "__f").alias("value"))
+    return ids.join(first, F.col(key).cast("string") == F.col("__id")).drop("__id")
+
+
+def join_database(spark: SparkSession, url: str, keys: DataFrame, key: str, table: str, properties: dict[str, str] | None = None, parts: int = 16) -> DataFrame:
+    """Rows of a database table whose ``key`` is among ``keys`` (one column): read in ``parts`` ranges of the key and joined
+    here, which takes the place of a temporary table pushed there."""
+    low, high = keys.agg(F.min(key), F.max(key)).first()
+    rows = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**(properties or {}))
+    if low is not None:
+        rows = rows.option("partitionColumn", key).option("lowerBound", str(low)).option("upperBound", str(int(high) + 1)).option("numPartitions", str(parts))
+    return rows.load().join(keys.distinct(), key, "left_semi")
 
 
 def read_edges(spark: SparkSession, path: str, min_weight: float) -> tuple[DataFrame, DataFrame]:

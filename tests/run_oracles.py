@@ -25,7 +25,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         try:
             df = run(spark, sf_dir)
             if name in oracles:
-                said = compare(df, con, oracles[name]) or "equal"
+                said = compare(df, con, oracles[name]) or f"equal, {df.count()} rows"
             else:
                 said = f"no SQL, {df.count()} rows"
         except Exception as error:  # noqa: BLE001

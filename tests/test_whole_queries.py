@@ -65,7 +65,7 @@ def test_large_ego_nets_are_split(spark, monkeypatch):
     hub = [(0, i, 1.0) for i in range(1, co.MOST_NODES + 2)]
     inner = [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (4, 5, 1.0), (5, 6, 1.0), (4, 6, 1.0), (3, 4, 0.04)]
     graph = spark.createDataFrame(hub + inner, "src long, dst long, weight double")
-    monkeypatch.setattr(gq, "_sparse", lambda *_: graph)
+    monkeypatch.setattr(gq, "_graph", lambda *_: graph)
     rows = [r for r in gq.ego_girvan_newman(spark, SF).collect() if r.node == 0]
     parts = {}
     for r in rows:
