@@ -28,3 +28,4 @@ def test_query(spark, duck, name):
 
 def test_recall(spark):
     assert recall_of(table(spark, "/root/testdata/sf0.01", "persona_embeddings"), "persona_id", "task_embedding", 5, 64, leaf_rows=32) >= 0.9
+    assert recall_of(table(spark, "/root/testdata/sf0.01", "persona_embeddings"), "persona_id", "method_embedding", 5, 64, sample_rows=64, leaf_rows=16, deeper=1, inner_leaves=16) >= 0.9

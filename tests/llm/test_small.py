@@ -54,6 +54,9 @@ def test_neighbours_against_brute_force(spark):
     assert len(want & got) >= 0.95 * len(want) and len(got) == len(want)
     exact = {(r.key, r.neighbour) for r in neighbours.most_similar(df, "key", "v", 3, 8, recall=1.1).collect()}
     assert exact == want
+    # A sample too small for the table: a second level of leaves, calibrated like the first.
+    deep = {(r.key, r.neighbour) for r in neighbours.most_similar(df, "key", "v", 3, 8, sample_rows=24, leaf_rows=10, deeper=1, inner_leaves=8, inner_sample=100).collect()}
+    assert len(want & deep) >= 0.95 * len(want) and len(deep) == len(want)
     assert neighbours.most_similar(df.limit(0), "key", "v", 3, 8).count() == 0
     assert neighbours.most_similar(spark.createDataFrame(data[:2], "key string, v array<double>"), "key", "v", 3, 8).count() == 2
 
