@@ -20,9 +20,10 @@ def _names(spark: SparkSession, directory: str) -> list[str]:
 
 
 def parquet_path(spark: SparkSession, directory: str, table: str) -> str:
-    """The one path of a table: ``{table}_*parquet*``, else ``*_{table}_*parquet*``; anything but one match is a ValueError."""
+    """The one path of a table: ``{table}_*parquet*``, else ``*_{table}_*parquet*``, else ``{table}.parquet``, as converted dumps
+    are named; anything but one match is a ValueError."""
     names = _names(spark, directory)
-    for pattern in (f"{table}_*parquet*", f"*_{table}_*parquet*"):
+    for pattern in (f"{table}_*parquet*", f"*_{table}_*parquet*", f"{table}.parquet"):
         if found := [n for n in names if fnmatch.fnmatchcase(n, pattern)]:
             if len(found) > 1:
                 raise ValueError(f"{len(found)} paths for {table} in {directory}")
@@ -86,8 +87,8 @@ def read_edges(spark: SparkSession, path: str, min_weight: float) -> tuple[DataF
     return vertices, rows.where(F.col("weight") > min_weight)
 
 
-def read_predictions(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    return spark.read.schema(PREDICTIONS).option("pathGlobFilter", "predictions*.jsonl").option("recursiveFileLookup", str(recursive).lower()).json(path)
+def read_predictions(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "predictions*.jsonl") -> DataFrame:
+    return spark.read.schema(PREDICTIONS).option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).json(path)
 
 
 def read_ego_partitions(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholark.operators.relational import upsert
@@ -43,3 +43,14 @@ def node_link(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def upsert_parquet(new: DataFrame, path: str, target: str, key: str) -> None:
     """The table at ``path`` with ``new`` replacing its keys, written to ``target`` (another place: readers keep the old one)."""
     upsert(new.sparkSession.read.parquet(path), new, key).write.mode("overwrite").parquet(target)
+
+
+def write_listing(spark: SparkSession, folder: str, extension: str | None = None, name: str = "directory.txt") -> DataFrame:
+    """The names of the direct children of ``folder`` (those ending in ``extension``), written there as one text file and
+    returned as ``value``."""
+    from scholark.sources.readers import _names
+
+    found = [n for n in _names(spark, folder) if n != name and not n.startswith(("_", ".")) and (extension is None or n.endswith(extension))]
+    listing = spark.createDataFrame([(n,) for n in found], "value string")
+    listing.coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    return listing
