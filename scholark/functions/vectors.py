@@ -46,8 +46,9 @@ PARTIAL_KEYS = 50_000
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, weight: str | None = None, alias: str = "embedding") -> DataFrame:
     """``keys``, ``alias``: element-wise mean of (weighted) vectors, divided by the number of rows, not by the weights' sum.
 
-    Each worker sums its rows' vectors per key before the shuffle, so one partial sum a key and partition travels and a
-    heavy key is no task's burden. Null keys, null vectors and vectors of another length than the first form no group.
+    Each worker sums its rows' vectors per key before the shuffle, so one partial sum a key and partition travels, as one
+    array, and a heavy key is no task's burden; sums of a key then follow each other and are added up. Null keys and null
+    vectors form no group.
     """
     kinds = [df.schema[k] for k in keys]
     out = T.StructType([*kinds, T.StructField("__sum", T.ArrayType(T.DoubleType())), T.StructField("__n", T.LongType())])
@@ -80,6 +81,20 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, weight: str | None
                 held.clear()
         yield flush()
 
-    parts = rows.mapInPandas(partial, out).select(*keys, "__n", F.posexplode("__sum").alias("i", "s"))
-    means = parts.groupBy(*keys, "i").agg((F.sum("s") / F.sum("__n")).alias("m"))
-    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias(alias))
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, total, n = None, None, 0
+        for batch in batches:
+            done = []
+            for *key, s, count in batch[[*keys, "__sum", "__n"]].itertuples(index=False, name=None):
+                if key == name:
+                    total, n = total + s, n + count
+                else:
+                    if name is not None:
+                        done.append((*name, total / n))
+                    name, total, n = key, np.array(s), count
+            yield pd.DataFrame(done, columns=[*keys, alias])
+        if name is not None:
+            yield pd.DataFrame([(*name, total / n)], columns=[*keys, alias])
+
+    sums = rows.mapInPandas(partial, out).repartition(*keys).sortWithinPartitions(*keys)
+    return sums.mapInPandas(merge, T.StructType([*kinds, T.StructField(alias, T.ArrayType(T.DoubleType()))]))

@@ -17,11 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholark.session import parallelism
+
 #: Items a sketch keeps; its count error is below 3.5 / SKETCH_ITEMS of the rows.
 SKETCH_ITEMS = 8192
 #: The most other-side rows that ``skew_join`` broadcasts; beyond it the heavy rows take a salted shuffle.
 BROADCAST_ROWS = 10_000
-#: Subkeys over which the rows of one heavy key are spread.
+#: Subkeys over which the rows of one heavy key are spread, at least; as many as the session has shuffle partitions, if more.
 SALTS = 32
 RESERVED = ("__salt", "__heavy")
 
@@ -66,8 +68,9 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01,
     rest = left.where(~is_heavy).join(right.where(~is_heavy), key, how)
     if len(few.limit(BROADCAST_ROWS + 1).select(key).collect()) <= BROADCAST_ROWS:
         return left.where(is_heavy).join(F.broadcast(few), key, how).unionByName(rest)
-    salted = left.where(is_heavy).withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)))
-    copies = few.withColumn("__salt", F.explode(F.array([F.lit(i).cast("long") for i in range(SALTS)])))
+    salts = max(SALTS, parallelism(left.sparkSession))
+    salted = left.where(is_heavy).withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, [key, "__salt"], how).drop("__salt").unionByName(rest)
 
 
@@ -87,10 +90,11 @@ def skew_aggregate(df: DataFrame, key: str, sums: dict[str, Column] | None = Non
     is_heavy = F.col(key).isin(keys)
     rest = df.where(~is_heavy).groupBy(key).agg(*plain, *once)
     hot = df.where(is_heavy)
-    spread = hot.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)))
+    salts = max(SALTS, parallelism(df.sparkSession))
+    spread = hot.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
     merged = [F.sum("n_rows").alias("n_rows"), *[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in mins], *[F.max(n).alias(n) for n in maxs]]
     result = spread.groupBy(key, "__salt").agg(*plain).groupBy(key).agg(*merged)
     for name, column in distinct.items():
-        parts = hot.select(key, column.alias("__v"), F.pmod(F.xxhash64(column), F.lit(SALTS)).alias("__salt")).groupBy(key, "__salt").agg(F.countDistinct("__v").alias(name))
+        parts = hot.select(key, column.alias("__v"), F.pmod(F.xxhash64(column), F.lit(salts)).alias("__salt")).groupBy(key, "__salt").agg(F.countDistinct("__v").alias(name))
         result = result.join(F.broadcast(parts.groupBy(key).agg(F.sum(name).alias(name))), key)
     return result.unionByName(rest)
