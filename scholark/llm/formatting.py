@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholark.operators.graph.components import connected_components
+from scholark.operators.skew import skew_join
 from scholark.session import cut_lineage
 
+#: Share of the rows from which on a value is joined by itself.
+HOT_SHARE = 0.015
 #: Canonical values with fewer letters are fillers.
 LEAST_LETTERS = 4
 #: A separator is one of these signs with white space after it.
@@ -78,7 +81,8 @@ def collapse_formatting(df: DataFrame, key: str, fields: Sequence[str], swaps: b
     rows count once. An empty table gives no rows. Extra columns are ignored, whatever their names.
     """
     rows = df.select(F.col(key).alias("k"), F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("value")) for i, c in enumerate(fields)]))).where("value is not null")
-    coded = rows.join(value_dictionary(rows, "value", swaps), "value")
+    # A value may be a third of all rows: such rows meet their one dictionary entry by broadcast.
+    coded = skew_join(rows, value_dictionary(rows, "value", swaps), "value", HOT_SHARE)
     if len(fields) == 1:
         return coded.select(F.col("k").alias(key), F.array("code").alias("tuple")).distinct()
     record = coded.groupBy("k", "f").agg(F.collect_set("code").alias("codes")).select("k", F.explode("codes").alias("code"), "f")
