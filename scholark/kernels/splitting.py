@@ -45,35 +45,47 @@ def edge_betweenness(graph: Graph, samples: int | None = None, seed: int = 1) ->
 
     With ``samples``, only paths from so many nodes, drawn by ``seed``, are followed, and scaled up to all.
     """
-    total = {(a, b): 0.0 for a in graph for b in graph[a] if a < b}
-    sources = sorted(graph)
-    if samples is not None and samples < len(sources):
+    nodes = sorted(graph)
+    place = {n: i for i, n in enumerate(nodes)}
+    ends = [(a, b) for a in nodes for b in graph[a] if a < b]
+    near: list[list[tuple[int, float, int]]] = [[] for _ in nodes]
+    for e, (a, b) in enumerate(ends):
+        near[place[a]].append((place[b], graph[a][b], e))
+        near[place[b]].append((place[a], graph[a][b], e))
+    sources = list(range(len(nodes)))
+    if samples is not None and samples < len(nodes):
         sources = np.random.default_rng(seed).choice(sources, samples, replace=False).tolist()
+    total = [0.0] * len(ends)
     for source in sources:
-        distance, paths, before, order = {source: 0.0}, {source: 1.0}, {source: []}, []
-        queue, done = [(0.0, source)], set()
+        distance, paths, done = [float("inf")] * len(nodes), [0.0] * len(nodes), [False] * len(nodes)
+        before: list[list[tuple[int, int]]] = [[] for _ in nodes]
+        distance[source], paths[source], order, queue = 0.0, 1.0, [], [(0.0, source)]
         while queue:
             d, node = heapq.heappop(queue)
-            if node in done:
+            if done[node]:
                 continue
-            done.add(node)
+            done[node] = True
             order.append(node)
-            for other, w in graph[node].items():
-                length = d + w
-                if other not in distance or length < distance[other] - 1e-12:
-                    distance[other], paths[other], before[other] = length, paths[node], [node]
+            share = paths[node]
+            for other, w, e in near[node]:
+                if done[other]:
+                    continue
+                length, known = d + w, distance[other]
+                if length < known - 1e-12:
+                    distance[other], paths[other], before[other] = length, share, [(node, e)]
                     heapq.heappush(queue, (length, other))
-                elif abs(length - distance[other]) <= 1e-12 and other not in done:
-                    paths[other] += paths[node]
-                    before[other].append(node)
-        load = dict.fromkeys(order, 0.0)
+                elif length <= known + 1e-12:
+                    paths[other] += share
+                    before[other].append((node, e))
+        load = [0.0] * len(nodes)
         for node in reversed(order):
-            for previous in before[node]:
-                part = paths[previous] / paths[node] * (1 + load[node])
-                total[(min(node, previous), max(node, previous))] += part
-                load[previous] += part
-    scale = len(graph) / max(1, len(sources))
-    return {e: v * scale for e, v in total.items()}
+            part = (1 + load[node]) / paths[node]
+            for previous, e in before[node]:
+                carried = paths[previous] * part
+                total[e] += carried
+                load[previous] += carried
+    scale = len(nodes) / max(1, len(sources))
+    return {e: v * scale for e, v in zip(ends, total)}
 
 
 def modularity(graph: Graph, parts: list[list[int]]) -> float:
@@ -98,13 +110,18 @@ def split(graph: Graph, iterations: int = SPLIT_ITERATIONS) -> tuple[list[list[i
     left = {a: dict(b) for a, b in graph.items()}
     found = []
     parts = components(left)
+    # Betweenness is that of each part by itself, so only the part that lost an edge is looked at again.
+    inside = lambda part: edge_betweenness({n: left[n] for n in part})
+    central = {part[0]: inside(part) for part in parts}
     for _ in range(iterations):
         count = len(parts)
-        while len(parts) == count and any(left.values()):
-            central = edge_betweenness(left)
-            a, b = max(central, key=lambda e: (central[e], (-e[0], -e[1])))
+        while len(parts) == count and any(central.values()):
+            at, (a, b) = max(((k, e) for k, es in central.items() for e in es), key=lambda x: (central[x[0]][x[1]], (-x[1][0], -x[1][1])))
             del left[a][b], left[b][a]
             parts = components(left)
+            lost = central.pop(at).keys()
+            members = {n for e in lost for n in e}
+            central |= {part[0]: inside(part) for part in parts if part[0] in members}
         if len(parts) == count:
             break
         found.append(parts)
