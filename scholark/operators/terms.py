@@ -53,6 +53,11 @@ def finalize_terms(rows: DataFrame) -> DataFrame:
     return counted.drop("term_display").join(shown.join(ids, "term_normalized"), "term_normalized")
 
 
+def conflicting_displays(rows: DataFrame, display: str = "term_display") -> DataFrame:
+    """``term_normalized``, ``n``: normal forms with ``n`` > 1 display forms; none may be left where one depends on the other."""
+    return rows.where(F.col("term_normalized").isNotNull()).groupBy("term_normalized").agg(F.countDistinct(display).alias("n")).where("n > 1")
+
+
 def upsert_terms(old: DataFrame, new: DataFrame) -> DataFrame:
     """New papers' terms replace the old ones of the same papers; normalised terms already known keep their display form."""
     known = old.groupBy("term_normalized").agg(F.min("term_display").alias("__known"))

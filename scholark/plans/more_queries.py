@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholark.constants import LABELS, METHOD_WORDS, PREFIXES, STRONG_COAUTHOR, SUFFIXES, TASK_WORDS, YEARS
+from scholark.corpus import Corpus
 from scholark.functions import text
-from scholark.functions.scores import author_positions, tfidf
+from scholark.functions.scores import author_positions, minmax, tfidf
 from scholark.operators import embeddings as em
 from scholark.operators import extraction as ex
 from scholark.operators import ranking as rk
@@ -21,6 +22,7 @@ from scholark.plans import core_queries as cq
 from scholark.plans import domain as dm
 from scholark.plans import flagship as fl
 from scholark.plans import graph_queries as gq
+from scholark.plans import recommend as rc
 from scholark.plans import runs
 from scholark.plans import standin as st
 from scholark.plans import study
@@ -501,3 +503,65 @@ def study_post_hoc(spark, d):
 @query("SELECT event_id, replace(replace(props, '\"k\"', 'key'), ' ', '') AS props FROM events")
 def study_raw_feedback(spark, d):
     return study.raw_feedback(table(spark, d, "events").select("event_id", "props"), "props", {'"k"': "key", " ": ""})
+
+
+# Further forms of operators
+
+
+@query("SELECT term_normalized, count(DISTINCT term) AS n FROM df_ner WHERE term_normalized IS NOT NULL GROUP BY 1 HAVING count(DISTINCT term) > 1")
+def conflicting_displays(spark, d):
+    """Normal forms with several raw forms, as display forms must not have them."""
+    return tm.conflicting_displays(table(spark, d, "df_ner"), "term")
+
+
+@query("""WITH t AS (SELECT PaperId, min(replace(title, ' ', '')) AS key, min(CASE DocType WHEN 'Journal' THEN 0 WHEN 'Conference' THEN 1 WHEN 'Book' THEN 2 WHEN 'BookChapter' THEN 3 WHEN 'Repository' THEN 4 WHEN 'Dataset' THEN 5 END) AS o FROM paper GROUP BY 1),
+    c AS (SELECT DISTINCT AuthorId AS collection_id, PaperId FROM paper_author_affiliations WHERE AuthorId IS NOT NULL)
+    SELECT collection_id, PaperId FROM c JOIN t USING (PaperId) QUALIFY row_number() OVER (PARTITION BY collection_id, key ORDER BY o NULLS LAST, PaperId) = 1""")
+def deduplicated_papers(spark, d):
+    """Papers of each author with one a title, the best document type first."""
+    titles = table(spark, d, "paper").groupBy("PaperId").agg(F.min(text.title_key(F.col("title"))).alias("key"), F.min(rel.doctype_rank(F.col("DocType"))).alias("order"))
+    return rc.deduplicated(dm.authorship(spark, d).select(F.col("AuthorId").alias("collection_id"), "PaperId"), titles).select("collection_id", "PaperId")
+
+
+@query(f"WITH {dm.SQL_PAPERS}, {dm.SQL_AUTHORSHIP} SELECT PaperId, AuthorId, Yr AS \"Year\" FROM paa JOIN papers USING (PaperId) WHERE Yr >= {YEARS[0]} AND Yr < {YEARS[1]} QUALIFY count(*) OVER (PARTITION BY PaperId) <= 50")
+def paper_author_years(spark, d):
+    """Edges between papers and authors with the paper's year."""
+    return gq._authorships(spark, d, YEARS).join(dm.papers(spark, d).select("PaperId", "Year"), "PaperId")
+
+
+@query(f"""WITH {st.SQL_AUTHORSHIP}, rc AS (SELECT l_orderkey AS PaperId, count(*) AS n FROM lineitem GROUP BY 1), k AS (SELECT PaperId, AuthorId FROM paa JOIN rc USING (PaperId) WHERE n >= 3 AND n < 6)
+    SELECT DISTINCT PaperId, AuthorId FROM k WHERE AuthorId IN (SELECT AuthorId FROM k GROUP BY 1 HAVING count(DISTINCT PaperId) >= 2)""")
+def reference_range_edges(spark, d):
+    """Edges of papers with three to five references and authors of two papers or more."""
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("PaperId")).agg(F.count(F.lit(1)).alias("ReferenceCount"))
+    return co.author_paper_edges(st.authorship(spark, d).join(counts, "PaperId"), refs=(3, 6), min_pubs=2)
+
+
+@query(f"WITH {st.SQL_PAPERS}, {st.SQL_AUTHORSHIP} SELECT AuthorId AS collection_id, count(*) AS n_papers, min(Rnk) AS best FROM paa JOIN papers USING (PaperId) GROUP BY 1")
+def details_counts(spark, d):
+    """Details documents: all papers of each author."""
+    structs = cd.paper_structs(st.papers(spark, d).select("PaperId", "Rank", "Year"), st.authorship(spark, d))
+    cards = cd.collection_cards(st.authorship(spark, d).select(F.col("AuthorId").alias("collection_id"), "PaperId"), structs, n=None)
+    return cards.select("collection_id", F.size("papers").cast("long").alias("n_papers"), F.col("papers")[0]["Rank"].alias("best"))
+
+
+@query("""WITH p AS (SELECT PaperId, max(CitationCount) AS c FROM paper GROUP BY 1), b AS (SELECT min(c) AS lo, max(c) AS hi FROM p) SELECT PaperId, round(0.5 + 0.5 * (c - lo) / (hi - lo), 6) AS weight FROM p, b""")
+def citation_weights(spark, d):
+    papers = table(spark, d, "paper").groupBy("PaperId").agg(F.max("CitationCount").alias("c"))
+    bounds = papers.agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return papers.crossJoin(F.broadcast(bounds)).select("PaperId", F.round(minmax(F.col("c"), F.col("lo"), F.col("hi"), (0.5, 1.0)), 6).alias("weight"))
+
+
+@query("SELECT AuthorId, DisplayName FROM (SELECT DISTINCT AuthorId, DisplayName, \"Rank\" AS r FROM authors WHERE contains(DisplayName, 'Consortium') OR contains(DisplayName, 'Group')) WHERE contains(DisplayName, 'Group') ORDER BY r NULLS LAST, AuthorId LIMIT 1")
+def found_author(spark, d):
+    """The best-ranked author whose name holds a text."""
+    return Corpus(lambda _: table(spark, d, "authors").distinct()).find_author("Group").select("AuthorId", "DisplayName")
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT a.label, a.vec_id AS term_id, min(1 - list_dot_product(a.v, f.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(f.v, f.v))) AS distance
+    FROM v a JOIN v f ON a.label = f.label AND f.vec_id % 2 = 0 WHERE a.vec_id % 2 = 1 GROUP BY ALL) SELECT label, term_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), term_id) AS rank FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), term_id) <= 10""")
+def nearest_terms_by_label(spark, d):
+    """Odd vectors nearest to any even one of their label."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("term_id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
+    near = rk.nearest_terms(vectors.where("term_id % 2 = 0").select("label", "vector"), vectors.where("term_id % 2 = 1"), ["label"], 10)
+    return near.select("label", "term_id", F.round("distance", 6).alias("distance"), "rank")
