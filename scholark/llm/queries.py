@@ -23,9 +23,10 @@ from scholark.sources.tables import table
 def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every author id with a readable name and the smallest id of the person or group it stands for."""
     authors = table(spark, sf_dir, "authors").select("AuthorId", "DisplayName", "NormalizedName")
-    typed = table(spark, sf_dir, "paper_author_affiliations").select("AuthorId", F.col("OriginalAuthor").alias("name")).dropna().distinct()
+    typed = table(spark, sf_dir, "paper_author_affiliations").select("AuthorId", F.col("OriginalAuthor").alias("name"))
     shown = authors.select("AuthorId", F.coalesce("DisplayName", "NormalizedName").alias("name"))
-    names = shown.unionByName(typed.join(authors.select("AuthorId").distinct(), "AuthorId", "left_semi"))
+    # Combined before the join, which then leaves the rows placed as the linking wants them.
+    names = shown.unionByName(typed).dropna().distinct().join(authors.select("AuthorId"), "AuthorId", "left_semi")
     return link_names(names, "AuthorId", "name", table(spark, sf_dir, "given_name_forms"))
 
 
