@@ -50,28 +50,40 @@ def _values(heavy: DataFrame) -> list:
     return [r[0] for r in heavy.select("key_id").distinct().collect()]
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01, how: str = "inner", heavy: list | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01, how: str = "inner", heavy: list | None = None, right_heavy: list | None = None) -> DataFrame:
     """``left`` joined to ``right`` on ``key`` (``inner`` or ``left``) without one task getting a heavy key's rows.
 
-    Both sides may hold several rows a key (bag semantics). Columns of ``right`` other than the key must not clash with
-    those of ``left``. ``heavy`` spares the detection where it is known.
+    Both sides may hold several rows a key (bag semantics), and either may have heavy keys. Columns of ``right`` other than
+    the key must not clash with those of ``left``. ``heavy`` and ``right_heavy`` spare the detection where they are known: a
+    ``right`` with one row a key has none.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
     if clash := (set(left.columns) & set(right.columns)) - {key}:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     keys = _values(heavy_keys(left, [key], share)) if heavy is None else heavy
-    if not keys:
+    others = [k for k in (_values(heavy_keys(right, [key], share)) if right_heavy is None else right_heavy) if k not in keys]
+    if not keys and not others:
         return left.join(right, key, how)
-    is_heavy = F.coalesce(F.col(key).isin(keys), F.lit(False))
-    few = right.where(is_heavy)
-    rest = left.where(~is_heavy).join(right.where(~is_heavy), key, how)
+    among = lambda ks: F.coalesce(F.col(key).isin(ks), F.lit(False))
+    light = ~among([*keys, *others])
+    result = left.where(light).join(right.where(light), key, how)
+    if keys:
+        result = result.unionByName(_spread_join(left.where(among(keys)), right.where(among(keys)), key, how))
+    if others:  # a key that is heavy on the right has matches there, so this part is an inner join in any case
+        turned = _spread_join(right.where(among(others)), left.where(among(others)), key, "inner")
+        result = result.unionByName(turned.select(*result.columns))
+    return result
+
+
+def _spread_join(many: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """``many`` joined to ``few`` on ``key``: by broadcast after a check of its rows, beyond it over salted subkeys."""
     if len(few.limit(BROADCAST_ROWS + 1).select(key).collect()) <= BROADCAST_ROWS:
-        return left.where(is_heavy).join(F.broadcast(few), key, how).unionByName(rest)
-    salts = max(SALTS, parallelism(left.sparkSession))
-    salted = left.where(is_heavy).withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)))
+        return many.join(F.broadcast(few), key, how)
+    salts = max(SALTS, parallelism(many.sparkSession))
+    salted = many.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)))
     copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [key, "__salt"], how).drop("__salt").unionByName(rest)
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def skew_aggregate(df: DataFrame, key: str, sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None, distinct: dict[str, Column] | None = None, share: float = 0.01, heavy: list | None = None) -> DataFrame:

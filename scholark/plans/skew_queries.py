@@ -22,7 +22,7 @@ def p1_author_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per ``AuthorId``: rows, papers, affiliations, and citations and years of the rows whose paper is known."""
     rows = table(spark, sf_dir, "paper_author_affiliations").select("PaperId", "AuthorId", "AffiliationId")
     papers = table(spark, sf_dir, "paper").groupBy("PaperId").agg(F.max("CitationCount").alias("cites"), F.min("Year").alias("year"))
-    joined = cut_lineage(skew_join(rows, papers, "PaperId", HEAVY_SHARE, "left"))  # each branch of the aggregate reads it
+    joined = cut_lineage(skew_join(rows, papers, "PaperId", HEAVY_SHARE, "left", right_heavy=[]))  # each branch of the aggregate reads it
     return skew_aggregate(joined, "AuthorId", sums={"citations": F.coalesce("cites", F.lit(0))}, mins={"first_year": F.col("year")}, maxs={"last_year": F.col("year")}, distinct={"n_papers": F.col("PaperId"), "n_affiliations": F.col("AffiliationId")}, share=HEAVY_SHARE)
 
 
@@ -30,7 +30,7 @@ def p1_paper_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per ``PaperId``: rows, authors, known authors' citations and the best author rank."""
     rows = table(spark, sf_dir, "paper_author_affiliations").select("PaperId", "AuthorId", "AuthorSequenceNumber")
     authors = table(spark, sf_dir, "authors").groupBy("AuthorId").agg(F.max("CitationCount").alias("cites"), F.min("Rank").alias("rank"))
-    joined = cut_lineage(skew_join(rows, authors, "AuthorId", HEAVY_SHARE, "left"))  # each branch of the aggregate reads it
+    joined = cut_lineage(skew_join(rows, authors, "AuthorId", HEAVY_SHARE, "left", right_heavy=[]))  # each branch of the aggregate reads it
     return skew_aggregate(joined, "PaperId", sums={"author_citations": F.coalesce("cites", F.lit(0))}, mins={"best_rank": F.col("rank")}, maxs={"last_sequence": F.col("AuthorSequenceNumber")}, distinct={"n_authors": F.col("AuthorId")}, share=HEAVY_SHARE)
 
 

@@ -50,3 +50,13 @@ def test_skew_aggregate_equals_a_plain_one(rows, heavy):
     want = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.countDistinct("v").alias("d"))
     columns = ["k", "n_rows", "s", "lo", "hi", "d"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_heavy_keys_on_either_side(spark, monkeypatch, how, most):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", most)
+    left = spark.createDataFrame([(1, i) for i in range(40)] + [(2, i) for i in range(5)] + [(3, 0), (None, 0)], "k int, a int")
+    right = spark.createDataFrame([(2, i) for i in range(50)] + [(1, 0), (1, 1), (4, 0), (None, 1)], "k int, b int")
+    got = Counter(map(tuple, skew.skew_join(left, right, "k", 0.2, how).select("k", "a", "b").collect()))
+    assert got == Counter(map(tuple, left.join(right, "k", how).select("k", "a", "b").collect()))
