@@ -82,7 +82,7 @@ def collapse_formatting(df: DataFrame, key: str, fields: Sequence[str], swaps: b
     """
     rows = df.select(F.col(key).alias("k"), F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("value")) for i, c in enumerate(fields)]))).where("value is not null")
     # A value may be a third of all rows: such rows meet their one dictionary entry by broadcast.
-    coded = skew_join(rows, value_dictionary(rows, "value", swaps), "value", HOT_SHARE)
+    coded = skew_join(rows, value_dictionary(rows, "value", swaps), "value", HOT_SHARE, right_heavy=[])
     if len(fields) == 1:
         return coded.select(F.col("k").alias(key), F.array("code").alias("tuple")).distinct()
     record = coded.groupBy("k", "f").agg(F.collect_set("code").alias("codes")).select("k", F.explode("codes").alias("code"), "f")
