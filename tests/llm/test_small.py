@@ -61,6 +61,32 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.most_similar(spark.createDataFrame(data[:2], "key string, v array<double>"), "key", "v", 3, 8).count() == 2
 
 
+def test_visiting_rows_leave_python_once(spark, monkeypatch):
+    """Rows are copied for the leaves they visit by the JVM, not within a Python batch, which would grow with the table."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(400, 8)))], "key bigint, v array<double>")
+    kinds, run = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda df, f, kind, *a: kinds.append(kind) or run(df, f, kind, *a))
+    assert neighbours.most_similar(df, "key", "v", 3, 8, recall=1.1, leaf_rows=20).count() == 1200
+    assert sum("leaves" in kind.fieldNames() for kind in kinds if not isinstance(kind, str)) == 1
+
+
+def test_blocks_follow_the_queries_counted(spark, monkeypatch):
+    """A leaf that nearly all visit is cut by its visits, not by its own rows times the usual number of visits."""
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 50)
+    monkeypatch.setattr(neighbours, "BLOCK_PLACES", 100)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.ones(8) + 0.5 * rng.normal(size=(40, 8)), rng.normal(size=(360, 8))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key bigint, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -2)
+    want = {(i, int(j)) for i, r in enumerate(scores) for j in np.argsort(-r)[:3]}
+    assert {(r.key, r.neighbour) for r in neighbours.most_similar(df, "key", "v", 3, 8, recall=1.1, leaf_rows=20).collect()} == want
+    deep = neighbours.most_similar(df, "key", "v", 3, 8, recall=1.1, sample_rows=24, leaf_rows=10, deeper=1, inner_leaves=8, inner_sample=100)
+    assert len({(r.key, r.neighbour) for r in deep.collect()} & want) >= 0.95 * len(want)
+
+
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(1).normal(size=(300, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
