@@ -37,6 +37,8 @@ SHORT = 4
 #: Weight of an initial beside a written token; least fit of two persons' given tokens; of given tokens in another order;
 #: of a group's words.
 INITIAL_WEIGHT, SAME_GIVEN, REORDERED, SAME_GROUP = 0.25, 0.75, 0.9, 0.85
+#: Initials of a list from which they alone may make it agree by REORDERED with another.
+MOSTLY_INITIALS = 8
 
 _LEET = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s"})
 _BRACKETS = regex.compile(r"\([^()]*\)?|\[[^\[\]]*\]?")
@@ -323,65 +325,68 @@ class _Sets:
         self.root[j] = i
 
 
+def _near_keys(token: str, forms: dict[str, set[str]]) -> set[str]:
+    """What two tokens share that are equal, an edit or a short form apart."""
+    plain = token.rstrip(".")
+    return {*deletes(plain), *(f"~{f}" for f in (plain, *forms.get(plain, ())))}
+
+
 def persons_of_names(fulls: list[list[str]], forms: dict[str, set[str]]) -> list[int]:
     """For each list of given tokens led by a written name the place of its person's first list.
 
-    Candidates share a key of the delete index over leading names, a short form, or (names in another order) all their
-    tokens; candidates are aligned. Lists of one leading name that hold nothing but it and an initial at most all
-    align; the others meet these through one of them, and each other under keys of their further tokens.
+    Lists whose leading names fit all meet, until they are one person's: leading names are compared where they share a key of
+    the delete index or a short form. Lists in another order must agree by REORDERED, so they share a written token, an edit,
+    a short form or an abbreviation apart, by whose keys they meet, unless they are mostly initials.
     """
     sets, heads = _Sets(len(fulls)), {}
     for i, g in enumerate(fulls):
         heads.setdefault(g[0], []).append(i)
 
     def meet(i: int, j: int) -> None:
-        if sets.find(i) != sets.find(j) and one_person(fulls[i], fulls[j], forms):
+        if sets.find(i) != sets.find(j) and one_person(fulls[min(i, j)], fulls[max(i, j)], forms):
             sets.union(i, j)
 
+    def meet_all(one: list[int], other: list[int]) -> None:
+        for i in one:
+            if len({sets.find(j) for j in (*one, *other)}) == 1:
+                return
+            for j in other:
+                meet(i, j)
+
     for places in heads.values():
-        if len(places) == 1:
-            continue
-        plain = [i for i in places if len(fulls[i]) == 1 or len(fulls[i]) == 2 and len(fulls[i][1]) == 1]
-        for i in plain[1:]:
-            sets.union(plain[0], i)
-        index: dict[str, list[int]] = {}
-        for i in places:
-            if len(fulls[i]) == 1 or len(fulls[i]) == 2 and len(fulls[i][1]) == 1:
-                continue
-            if plain:
-                meet(plain[0], i)
-            met: set[int] = set()
-            for t in fulls[i][1:]:
-                # An initial meets what begins with it, a written name its near ones and initials.
-                for key in [f"^{t}", t] if len(t) == 1 else [*deletes(t.rstrip(".")), t[0]]:
-                    met.update(index.get(key, ()))
-                for key in [t] if len(t) == 1 else [*deletes(t.rstrip(".")), f"^{t[0]}"]:
-                    index.setdefault(key, []).append(i)
-            for j in met:
-                meet(j, i)
+        # A leading name alone, or beside one initial, fits all lists that it leads.
+        plain = next((i for i in places if len(fulls[i]) == 1 or len(fulls[i]) == 2 and len(fulls[i][1]) == 1), None)
+        if plain is not None:
+            for i in places:
+                sets.union(plain, i)
+        elif len(places) > 1:
+            meet_all(places, places)
     if len(heads) > 1:
         near: dict[str, list[str]] = {}
         pairs = set()
         for h in heads:
-            keys = {*deletes(h), *(f"~{f}" for f in (h, *forms.get(h, ())))}
-            for key in keys:
+            for key in _near_keys(h, forms):
                 pairs.update((o, h) for o in near.get(key, ()) if o != h)
                 near.setdefault(key, []).append(h)
         for a, b in pairs:
             if token_fit(a, b, forms) >= REORDERED:
-                one, other = heads[a], heads[b]
-                meet(one[0], other[0])
-                if len(one) + len(other) > 2:  # several persons may share each leading name
-                    for i in one:
-                        meet(i, other[0])
-                    for j in other:
-                        meet(one[0], j)
-        turned: dict[tuple, int] = {}
-        for i, g in enumerate(fulls):
-            if len(g) > 1:
-                first = turned.setdefault(tuple(sorted(g)), i)
-                if first != i:
-                    meet(first, i)
+                meet_all(heads[a], heads[b])
+        turned: dict[tuple[int, str], list[int]] = {}
+        longer = [i for i, g in enumerate(fulls) if len(g) > 1]
+        for i in longer:
+            for t in fulls[i]:
+                if len(t) > 1:
+                    for key in (*_near_keys(t, forms), *(f"^{t[:n]}" for n in range(1, len(t.rstrip(".")) + 1))):
+                        turned.setdefault((len(fulls[i]), key), []).append(i)
+        for i in longer:
+            g = fulls[i]
+            asked = {key for t in g if len(t) > 1 for key in (*_near_keys(t, forms), *([f"^{t[:-1]}"] if t[-1] == "." else []))}
+            met = {j for key in asked for j in turned.get((len(g), key), ())}
+            if sum(len(t) == 1 for t in g) >= MOSTLY_INITIALS:
+                met.update(j for j in longer if len(fulls[j]) == len(g))
+            for j in met:
+                if j != i:
+                    meet(i, j)
     return [sets.find(i) for i in range(len(fulls))]
 
 

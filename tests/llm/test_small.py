@@ -485,3 +485,18 @@ def test_blocks_of_one_family_name_against_brute_force(spark):
     got = linked(spark, typed)
     for (i, a), (j, b) in itertools.combinations(zip(parsed, want), 2):
         assert (got[i] == got[j]) == (a is not None and a == b), (typed[i], typed[j])
+
+
+def test_persons_of_names_leave_no_pair_out():
+    """Against all pairs: several persons under near leading names, further tokens that are prefixes or forms, turned lists."""
+    forms = {"bill": {"william"}, "kate": {"katharina"}}
+    fixed = [["anna", "bill"], ["anna", "william"], ["jonathan", "karl"], ["jonathan", "peter"], ["jonathon", "otto"], ["jonathon", "peter"], ["maria", "luisa"], ["luiza", "maria"], ["hans", "kath"], ["hans", "katharina"]]
+    rng = random.Random(7)
+    words = ["maria", "mariya", "anna", "luisa", "luiza", "kath", "katharina", "kate", "bill", "william", "karl", "k", "m", "w", "wil.", "ma."]
+    lists = [fixed] + [[[rng.choice(words[:11]), *rng.choices(words, k=rng.randrange(0, 4))] for _ in range(rng.randrange(2, 9))] for _ in range(300)]
+    for fulls in lists:
+        sets = names._Sets(len(fulls))
+        for i, j in itertools.combinations(range(len(fulls)), 2):
+            if names.one_person(fulls[i], fulls[j], forms):
+                sets.union(i, j)
+        assert names.persons_of_names(fulls, forms) == [sets.find(i) for i in range(len(fulls))], fulls
