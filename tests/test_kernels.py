@@ -54,6 +54,21 @@ def test_split_is_a_partition(edges):
     assert len(parts) >= len(components(graph))
 
 
+def test_split_follows_only_sources_that_used_the_edge(monkeypatch):
+    """Two cliques and a bridge: after an edge went, sources none of whose paths used it are not followed again."""
+    import scholark.kernels.splitting as splitting
+
+    followed, follow = [], splitting._follow
+    monkeypatch.setattr(splitting, "_follow", lambda n, near, source, n_edges: followed.append(source) or follow(n, near, source, n_edges))
+    edges = [(a, b, 1.0) for k in (0, 5) for a in range(k, k + 5) for b in range(a + 1, k + 5)] + [(4, 5, 1.0)]
+    graph = graph_of(range(10), edges)
+    parts, _ = split(graph)
+    assert sorted(n for p in parts for n in p) == list(range(10))
+    assert len(followed) < 10 * (1 + len(edges))
+    assert followed[:20] == [*range(10), *range(10)]  # the bridge is on paths of all
+    assert len(followed[20:]) % 10 or len(followed) == 20
+
+
 def brute_ward(x, threshold):
     groups = [[i] for i in range(len(x))]
     while len(groups) > 1:
