@@ -385,6 +385,17 @@ def test_crowds_under_a_common_phrase_against_brute_force(spark, monkeypatch):
     assert {i: root[i] for i in kind} == {i: i % 4 for i in kind} and len(pairs) < 60 * 59 / 4
 
 
+def test_crowds_give_all_similar_pairs(spark, monkeypatch):
+    """Members similar to a centre are also met by each other: here i and j are similar within 9, the flow needs all these links."""
+    monkeypatch.setattr(clusters, "CROWD", 6)
+    monkeypatch.setattr(clusters, "CENTRES", 2)
+    crowds = spark.createDataFrame([(h, i) for h, n in ((1, 60), (2, 33), (3, 5)) for i in range(h * 1000, h * 1000 + n)], "h bigint, node bigint")
+    alike = lambda ab: ab.where("other - node < 9")
+    found = [tuple(r) for r in alike(clusters.centred_pairs(crowds, alike)).collect()]
+    want = {(h * 1000 + i, h * 1000 + j) for h, n in ((1, 60), (2, 33), (3, 5)) for i in range(n) for j in range(i + 1, min(n, i + 9))}
+    assert set(found) == want and len(found) == len(want)
+
+
 # 2, every near pair
 
 
