@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scholark import session
 from scholark.llm import clusters, counting, encoding, formatting, mixing, names, neighbours, residue, topn
 
 
@@ -87,6 +88,32 @@ def test_blocks_follow_the_queries_counted(spark, monkeypatch):
     assert len({(r.key, r.neighbour) for r in deep.collect()} & want) >= 0.95 * len(want)
 
 
+def test_queries_travel_in_passes(spark, tmp_path, monkeypatch):
+    """However many leaves a query visits, few copies of the table travel at a time, and only the result stays on the disk."""
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(neighbours, "PASS_ROWS", 100, raising=False)
+    written, run = [], neighbours.cut_lineage
+    monkeypatch.setattr(neighbours, "cut_lineage", lambda df, *a: written.append(df.columns) or run(df, *a))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64)).astype("<f4")
+    unit = x.astype("<f8") / np.linalg.norm(x.astype("<f8"), axis=1, keepdims=True)
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -2)
+    want = {(i, int(j)) for i, r in enumerate(scores) for j in np.argsort(-r)[:3]}
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key bigint, v array<float>")
+    for copies, how in ((4, {"leaf_rows": 200}), (12, {"leaf_rows": 50, "sample_rows": 100, "deeper": 1, "inner_leaves": 8, "inner_sample": 500})):
+        monkeypatch.setattr(neighbours, "PASS_COPIES", copies, raising=False)
+        written.clear()
+        before = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+        near = neighbours.most_similar(df, "key", "v", 3, 64, recall=1.1, **how)
+        assert written.count(["key", "neighbour", "similarity", "rank"]) > 2
+        assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) - before < 2000 * 64 * 4
+        found = near.collect()
+        assert len(found) == 6000 and {r["rank"] for r in found} == {1, 2, 3}
+        assert len({(r.key, r.neighbour) for r in found} & want) >= 0.95 * len(want)
+        assert all(abs(r.similarity - scores[r.key, r.neighbour]) < 1e-12 for r in found)
+
+
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(1).normal(size=(300, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
