@@ -5,10 +5,12 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from scholark.kernels import splitting
 from scholark.kernels.greedy import diversified
 from scholark.kernels.pagerank import pagerank
 from scholark.kernels.splitting import components, edge_betweenness, graph_of, modularity, split
 from scholark.kernels.ward import ward_labels
+from scholark.operators.graph import coauthors as co
 
 EDGES = st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.sampled_from([1.0, 2.0, 3.5])), max_size=14).map(lambda es: {(min(a, b), max(a, b)): w for a, b, w in es if a != b})
 
@@ -109,3 +111,29 @@ def test_diversified_rules():
     assert diversified(list("abcde"), similar, 0.6) == list("ade")
     assert diversified(list("adcbe"), similar, 0.6, None) == list("adcbe")
     assert diversified(list("abcdefgh"), lambda x, y: 0.0, 0.6, keep=3) == list("abc")
+
+
+def test_split_does_not_depend_on_the_paths_kept(monkeypatch):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b), round(float(rng.integers(1, 5)) / 3, 9)) for a, b in itertools.combinations(range(24), 2) if rng.random() < (0.6 if a // 8 == b // 8 else 0.05)]
+    want = split(graph_of(range(24), edges))
+    for most in (0, 60, 300):
+        monkeypatch.setattr(splitting, "KEPT_SHARES", most, raising=False)
+        assert split(graph_of(range(24), edges)) == want
+
+
+def test_ego_nets_are_split_whatever_their_size(spark):
+    """A net of 506 neighbours, most of them alone, and the same net without these: the linked ones are split alike, none is left out."""
+    inner = [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (4, 5, 1.0), (5, 6, 1.0), (4, 6, 1.0), (3, 4, 0.04)]
+    want, _ = split(graph_of(range(1, 507), inner))
+    graph = spark.createDataFrame([(0, i, 1.0) for i in range(1, 507)] + inner, "src long, dst long, weight double")
+    parts = {}
+    for r in co.split_egos(graph).where("node = 0").collect():
+        parts.setdefault(r.component, []).append(r.neighbour)
+        assert r.error is None and (r.n_nodes, r.n_edges) == (506, 7)
+    assert sorted(map(sorted, parts.values())) == sorted(want) and sum(map(len, want)) == 506
+    small = [(0, i, 1.0) for i in range(1, 7)]
+    few = {}
+    for r in co.split_egos(spark.createDataFrame(small + inner, graph.schema)).where("node = 0").collect():
+        few.setdefault(r.component, []).append(r.neighbour)
+    assert sorted(map(sorted, few.values())) == sorted(p for p in want if p[0] < 7)
